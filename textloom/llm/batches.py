@@ -91,3 +91,10 @@ def drop_stored(spark: SparkSession, path: str) -> None:
     """Delete a table that ``stored`` wrote."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def hash_sample(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """Some ``rows`` of ``df``: those whose ``columns`` have the smallest hashes. Only hashes are sorted for it."""
+    held = df.withColumn(name := unused(df, "sample_hash"), F.xxhash64(*columns))
+    last = held.select(name).orderBy(name).limit(rows).agg(F.max(name)).first()[0]
+    return held.where(F.col(name) <= F.lit(last)).limit(rows).drop(name) if last is not None else df.limit(0)
