@@ -16,6 +16,7 @@ from textloom.llm.simhash import near_duplicates
 from textloom.llm.token_counts import token_counts
 from textloom.llm.toxicity import toxicity
 from textloom.llm.url_filter import filter_urls
+from textloom.llm.vantage import nearest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_vantage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -59,7 +64,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_token_counts, op5_decontamination, op6_language_id, op7_pieces, op8_simhash, op9_quality, op10_url_filter)
+    f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_token_counts, op4_vantage_search, op5_decontamination, op6_language_id, op7_pieces, op8_simhash, op9_quality, op10_url_filter)
 }
 #: None of these can be expressed in SQL as a whole; tests/llm holds them against brute-force versions.
 ORACLES: dict[str, str] = {}
