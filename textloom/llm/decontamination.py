@@ -212,25 +212,32 @@ def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
 _FOUND = "array<struct<item_id:long,score:double,overlap:double,question_overlap:double,answer_overlap:double>>"
 
 
+_NAMES = ("item_id", "score", "overlap", "question_overlap", "answer_overlap")
+_KIND = pa.list_(pa.struct([(n, pa.int64() if n == "item_id" else pa.float64()) for n in _NAMES]))
+
+
+def _matcher(held, threshold: float, overlap: float):
+    """An Arrow UDF from texts to the items of one index verified in them."""
+
+    @F.arrow_udf(_FOUND)
+    def match(texts: pa.Array) -> pa.Array:
+        index, out = held.value, []
+        for part in slices(iter([pa.RecordBatch.from_arrays([texts], names=["t"])]), 0):
+            for text in part.column(0).to_pylist():
+                hits = index.search(text, threshold, overlap) if text else []
+                out.append([dict(zip(_NAMES, h, strict=True)) for h in hits])
+        return pa.array(out, _KIND)
+
+    return match
+
+
 def with_matches(docs: DataFrame, benchmark: DataFrame, column: str, threshold: float = 0.5, overlap: float = 0.8, text_col: str = "text") -> DataFrame:
     """``docs`` with an array ``column`` of the test items verified in each whole text; null and empty texts have none."""
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), *((n, pa.float64()) for n in ("score", "overlap", "question_overlap", "answer_overlap"))]))
     context = docs.sparkSession.sparkContext
     parts = []
     for number, index in enumerate(build_indexes(benchmark)):
-        held = context.broadcast(index)
-
-        @F.arrow_udf(_FOUND)
-        def match(texts: pa.Array, held=held) -> pa.Array:
-            index, out = held.value, []
-            for part in slices(iter([pa.RecordBatch.from_arrays([texts], names=["t"])]), 0):
-                for text in part.column(0).to_pylist():
-                    hits = index.search(text, threshold, overlap) if text else []
-                    out.append([dict(zip(("item_id", "score", "overlap", "question_overlap", "answer_overlap"), h, strict=True)) for h in hits])
-            return pa.array(out, kind)
-
         name = unused(docs, f"{column}_{number}")
-        docs = docs.withColumn(name, match(F.col(text_col)))
+        docs = docs.withColumn(name, _matcher(context.broadcast(index), threshold, overlap)(F.col(text_col)))
         parts.append(name)
     found = F.concat(*parts) if parts else F.array().cast(_FOUND)
     return docs.withColumn(column, found).drop(*parts)

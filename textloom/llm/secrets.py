@@ -15,6 +15,7 @@ import math
 import re
 from collections import Counter
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -181,7 +182,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", size_col: str = "n_c
     """
 
     @F.pandas_udf("string")
-    def clean(texts):
+    def clean(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: redact(t, mark), na_action="ignore")
 
     out = docs.withColumn(text_col, clean(F.col(text_col)))
