@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import re
 
 import numpy as np
@@ -23,12 +24,12 @@ from textloom.llm.batches import map_rows, strings
 SPACE = "▁"
 #: Segments longer than this are encoded afresh each time, and the cache is emptied at its limit.
 CACHED_SEGMENT = 48
-CACHE_LIMIT = 200_000
+CACHE_LIMIT = 500_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
 
 class PieceCodec(dict):
-    """Encoder and decoder of one model file; as a dict, caches the ids of each segment."""
+    """Encoder and decoder of one model file; as a dict, caches the packed ids of each segment."""
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -49,20 +50,21 @@ class PieceCodec(dict):
             for c in p:
                 self._number.setdefault(c, len(self._number) + self._size)
         order = {score: k for k, score in enumerate(sorted({model.pieces[k].score for k in pieces.values()}, reverse=True))}
-        self._ranks: dict[int, int] = {}
-        self._made: dict[int, int] = {}
+        #: For each symbol, what may follow it: rank by score and piece made, in one number. The last is for the dead.
+        self._dead = len(self._number) + self._size
+        self._follow: list[dict[int, int]] = [{} for _ in range(self._dead + 1)]
         for p, k in pieces.items():
             for cut in range(1, len(p)):
                 left, right = self._number.get(p[:cut]), self._number.get(p[cut:])
                 if left is not None and right is not None:
-                    self._ranks[left << 20 | right] = order[model.pieces[k].score]
-                    self._made[left << 20 | right] = k
+                    self._follow[left][right] = order[model.pieces[k].score] << 20 | k
         #: Segments encoded since the last check against the library.
-        self.fresh: dict[str, list[int]] = {}
+        self.fresh: dict[str, bytes] = {}
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self._bytes = {int(p.piece[3:5], 16): k for k, p in enumerate(model.pieces) if p.type == _BYTE}
         self.unknown = next(k for k, p in enumerate(model.pieces) if p.type == _UNKNOWN)
         self.begin, self.end = model.trainer_spec.bos_id, model.trainer_spec.eos_id
+        self._begin, self._end = (np.array([k], "<u4").tobytes() for k in (self.begin, self.end))
         # Where no piece holds a space after another character, nothing merges across such a place.
         whole = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
         self._segments = (lambda t: [t] if t else []) if whole else re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
@@ -76,50 +78,54 @@ class PieceCodec(dict):
 
     def merged(self, segment: str) -> list[int]:
         """Ids of one segment."""
-        number = self._number
-        symbol = [number.get(c, -1) for c in segment]
+        number, follow, dead = self._number.get, self._follow, self._dead
+        # Behind the last place stands a dead symbol, which is also what precedes the first.
+        symbol = [number(c, dead) for c in segment]
         n = len(symbol)
-        ranks, made_by = self._ranks, self._made
-        # An agenda entry is rank by score and position in one number: best score first, then leftmost.
-        agenda = [r << 40 | at for at in range(n - 1) if (r := ranks.get((symbol[at] << 20) + symbol[at + 1])) is not None]
+        symbol.append(dead)
+        bits, gone = n.bit_length(), {}
+        # An agenda entry is rank by score and place in one number: best score first, then leftmost.
+        agenda = [v >> 20 << bits | at for at in range(n - 1) if (v := follow[symbol[at]].get(symbol[at + 1])) is not None]
         if agenda:
-            dead = -2
-            before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+            mask = (1 << bits) - 1
+            before, after = [n, *range(n)], list(range(1, n + 1))
             heapq.heapify(agenda)
-            pop, push, get = heapq.heappop, heapq.heappush, ranks.get
+            pop, push = heapq.heappop, heapq.heappush
             while agenda:
                 entry = pop(agenda)
-                at, rank = entry & 0xFFFFFFFFFF, entry >> 40
-                left, right = symbol[at], after[at]
-                if left < 0 or right < 0 or get((left << 20) + symbol[right]) != rank:
+                at = entry & mask
+                right = after[at]
+                value = follow[symbol[at]].get(symbol[right], -1)
+                if value >> 20 != entry >> bits:
                     continue  # one of its sides has merged meanwhile
-                symbol[at] = made = made_by[left << 20 | symbol[right]]
+                symbol[at] = made = value & 0xFFFFF
                 symbol[right] = dead
                 after[at] = nxt = after[right]
-                if nxt >= 0:
-                    before[nxt] = at
-                    if (r := get((made << 20) + symbol[nxt])) is not None:
-                        push(agenda, r << 40 | at)
-                if (prev := before[at]) >= 0 and (r := get((symbol[prev] << 20) + made)) is not None:
-                    push(agenda, r << 40 | prev)
+                before[nxt] = at
+                gone[right] = True
+                if (v := follow[made].get(symbol[nxt])) is not None:
+                    push(agenda, v >> 20 << bits | at)
+                prev = before[at]
+                if (v := follow[symbol[prev]].get(made)) is not None:
+                    push(agenda, v >> 20 << bits | prev)
         ids: list[int] = []
-        for s, c in zip(symbol, segment, strict=True):
-            if 0 <= s < self._size:
+        for at, c in enumerate(segment):
+            if (s := symbol[at]) < self._size:
                 ids.append(s)
-            elif s != -2:  # a character without a piece of its own
+            elif at not in gone:  # a character without a piece of its own
                 if self._bytes:
                     ids.extend([self._bytes[b] for b in c.encode()])
                 elif not ids or ids[-1] != self.unknown:
                     ids.append(self.unknown)
         return ids
 
-    def __missing__(self, segment: str) -> list[int]:
-        ids = self.fresh[segment] = self.merged(segment)
+    def __missing__(self, segment: str) -> bytes:
+        packed = self.fresh[segment] = np.array(self.merged(segment), "<u4").tobytes()
         if len(segment) <= CACHED_SEGMENT:
             if len(self) >= CACHE_LIMIT:
                 self.clear()
-            self[segment] = ids
-        return ids
+            self[segment] = packed
+        return packed
 
     def segments(self, text: str) -> list[str]:
         """Parts of a text between which nothing can merge."""
@@ -132,15 +138,18 @@ class PieceCodec(dict):
         given = list(fresh)
         # The library puts one space before each text itself.
         found = self.library.encode([s[self._prefix :].replace(SPACE, " ") for s in given], num_threads=1)
-        return {s for s, ids in zip(given, found, strict=True) if ids != fresh[s]}
+        if np.array(list(itertools.chain.from_iterable(found)), "<u4").tobytes() == b"".join(fresh.values()):
+            if all(4 * len(ids) == len(own) for ids, own in zip(found, fresh.values(), strict=True)):
+                return set()
+        return {s for s, ids in zip(given, found, strict=True) if np.array(ids, "<u4").tobytes() != fresh[s]}
+
+    def packed(self, text: str) -> bytes:
+        """Ids of a text, with begin and end ids, as little-endian unsigned 32-bit integers."""
+        return b"".join([self._begin, *map(self.__getitem__, self.segments(text)), self._end])
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, with begin and end ids."""
-        ids = [self.begin]
-        for part in map(self.__getitem__, self.segments(text)):
-            ids += part
-        ids.append(self.end)
-        return ids
+        return np.frombuffer(self.packed(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: controls vanish, runs of byte pieces are UTF-8, the first piece loses its leading space."""
@@ -198,11 +207,6 @@ def codec_of(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
-def digest(ids: list[int]) -> str:
-    """SHA-256 of ids as little-endian unsigned 32-bit integers."""
-    return hashlib.sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest()
-
-
 def encode_texts(docs: DataFrame, model: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode every whole text: ``doc_id, n_tokens, ids_sha256, decoded_sha256, verified``.
 
@@ -216,14 +220,15 @@ def encode_texts(docs: DataFrame, model: str, with_ids: bool = False, id_col: st
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = strings(batch.column(1))
-            ids = [codec.encode(t) for t in texts]
+            packed = [codec.packed(t) for t in texts]
+            ids = [np.frombuffer(p, "<u4").tolist() for p in packed]
             decoded = [codec.decode(i) for i in ids]
             wrong.update(codec.wrong())
             right = [not wrong or wrong.isdisjoint(codec.segments(t)) for t in texts]
             arrays = [
                 batch.column(0),
                 pa.array([len(i) for i in ids], pa.int64()),
-                pa.array([digest(i) for i in ids]),
+                pa.array([hashlib.sha256(p).hexdigest() for p in packed]),
                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded]),
                 pa.array(right, pa.bool_()),
             ]
