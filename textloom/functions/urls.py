@@ -52,7 +52,7 @@ def longest_prefix(text: Column, rules: Column) -> Column:
 def retry_seconds(value: Column, now: Column) -> Column:
     """A retry header as seconds from ``now`` (epoch): digits as they are, else an HTTP date; null if neither."""
     date = F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(value, r"^\w+,\s*| GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss")))
-    return F.when(value.rlike(r"^\d+$"), value.cast("long")).otherwise(F.greatest(date - now, F.lit(0)))
+    return F.when(value.rlike(r"^\d+$"), value.cast("long")).when(date.isNotNull(), F.greatest(date - now, F.lit(0)))
 
 
 def url_score(url: Column, names: Sequence[str], site: str, path: str = "/en") -> Column:
