@@ -136,8 +136,10 @@ class PieceCodec(dict):
         """The segments met since the last call that the library encodes otherwise."""
         fresh, self.fresh = self.fresh, {}
         given = list(fresh)
-        # The library puts one space before each text itself.
+        # The library puts one space before each text itself, but none before an empty one.
         found = self.library.encode([s[self._prefix :].replace(SPACE, " ") for s in given], num_threads=1)
+        if self._prefix and SPACE in fresh:
+            found[given.index(SPACE)] = [self.library.piece_to_id(SPACE)]
         if np.array(list(itertools.chain.from_iterable(found)), "<u4").tobytes() == b"".join(fresh.values()):
             if all(4 * len(ids) == len(own) for ids, own in zip(found, fresh.values(), strict=True)):
                 return set()
