@@ -111,8 +111,19 @@ def test_responses(spark, docs):
     assert row.documents.startswith('[{"rank":1')
 
 
-def test_plan_joins_texts_last(spark, docs):
-    """Nothing but ids, lengths and query terms is shuffled; the text stays out of the exchanges."""
+def test_stored_index_gives_the_same_results(spark, docs, tmp_path):
+    asked = spark.createDataFrame([("q", "castle river"), ("r", "garden"), ("s", "unknown")], "query_num string, query_text string")
+    indexing.save(indexing.build(docs), str(tmp_path))
+    found = search.index_search(indexing.load(spark, str(tmp_path)), asked)
+    a, b = (sorted((r.query_num, r["rank"], r.doc_id, round(r.score, 9)) for r in x.collect()) for x in (found, search.batch_search(docs, asked)))
+    assert a == b and len(a) == 5
+
+
+def test_search_plan(spark, tmp_path):
+    """Query terms are broadcast, each task keeps its own top rows before the shuffle, and stored texts aren't read."""
+    spark.createDataFrame(DOCS, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
     asked = spark.createDataFrame([("q", "castle")], "query_num string, query_text string")
-    plan = bm25.search(docs, asked)._jdf.queryExecution().optimizedPlan().toString()
-    assert "WindowGroupLimit" in bm25.search(docs, asked)._jdf.queryExecution().executedPlan().toString() or "Window" in plan
+    indexing.save(indexing.build(docs), str(tmp_path / "index"))
+    plan = search.index_search(indexing.load(spark, str(tmp_path / "index")), asked)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "WindowGroupLimit" in plan and "CartesianProduct" not in plan and ",text:string" not in plan

@@ -65,12 +65,34 @@ def unindexed(docs: DataFrame, done: DataFrame, id_col: str = "doc_id") -> DataF
     return docs.join(done.select(F.col(id_col)).distinct(), id_col, "left_anti")
 
 
+def query_terms(queries: DataFrame) -> DataFrame:
+    """``query_num, term, qtf`` of queries (query_num, query_text)."""
+    return queries.select("query_num", F.explode(tokens(F.col("query_text"))).alias("term")).groupBy("query_num", "term").agg(F.count("*").alias("qtf"))
+
+
+def score_index(documents: DataFrame, postings: DataFrame, terms: DataFrame, stats: DataFrame, queries: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """The same scores from stored index tables; no text is read, and only postings of query terms are joined."""
+    asked = query_terms(queries)
+    wanted = asked.select("term").distinct()
+    near = F.broadcast if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda df: df)
+    weighted = asked.join(terms.join(near(wanted), "term", "left_semi"), "term").select("query_num", "term", "qtf", F.col("idf").cast("double").alias("idf"))
+    hits = postings.join(near(wanted), "term", "left_semi").join(documents, "doc_id").join(near(weighted), "term")
+    return _summed(hits, stats, config)
+
+
+def _summed(hits: DataFrame, stats: DataFrame, config: Config) -> DataFrame:
+    hits = hits.crossJoin(F.broadcast(stats.select("avg_doc_length")))
+    norm = config.k1 * (1 - config.b + config.b * F.col("doc_length") / F.col("avg_doc_length").cast("double"))
+    part = F.col("idf") * (F.col("freq") * (config.k1 + 1)) / (F.col("freq") + norm) * F.col("qtf")
+    return hits.groupBy("query_num", "doc_id").agg(F.sum(part).alias("score"))
+
+
 def score(docs: DataFrame, queries: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """``query_num, doc_id, score`` of every document with a term of a query (query_num, query_text).
 
     Terms no document has and queries without terms give nothing. Document frequencies and lengths are of all documents.
     """
-    asked = queries.select("query_num", F.explode(tokens(F.col("query_text"))).alias("term")).groupBy("query_num", "term").agg(F.count("*").alias("qtf"))
+    asked = query_terms(queries)
     terms = asked.select("term").distinct()
     small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     near = F.broadcast if small else (lambda df: df)
@@ -80,10 +102,7 @@ def score(docs: DataFrame, queries: DataFrame, config: Config = DEFAULT) -> Data
     stats = corpus_stats(document_stats(tokenised))
     idf = with_idf(postings.groupBy("term").agg(F.count("*").alias("doc_freq")), stats)
     weighted = asked.join(idf, "term").select("query_num", "term", "qtf", F.col("idf").cast("double").alias("idf"))
-    hits = postings.join(near(weighted), "term").crossJoin(F.broadcast(stats.select("avg_doc_length")))
-    norm = config.k1 * (1 - config.b + config.b * F.col("doc_length") / F.col("avg_doc_length").cast("double"))
-    part = F.col("idf") * (F.col("freq") * (config.k1 + 1)) / (F.col("freq") + norm) * F.col("qtf")
-    return hits.groupBy("query_num", "doc_id").agg(F.sum(part).alias("score"))
+    return _summed(postings.join(near(weighted), "term"), stats, config)
 
 
 def ranked(scored: DataFrame, top_k: int, min_score: float | None = 0.0, query: str = "query_num", doc: str = "doc_id") -> DataFrame:

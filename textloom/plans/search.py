@@ -10,6 +10,7 @@ from textloom.functions.text import prompt_context, rewritten_query, snippet
 from textloom.functions.urls import domain, domain_topic
 from textloom.operators import bm25
 from textloom.operators.rerank import reranked
+from textloom.plans.indexing import Index
 
 
 def batch_search(docs: DataFrame, queries: DataFrame, config: Config = DEFAULT, spellings: tuple[str, ...] = ()) -> DataFrame:
@@ -18,6 +19,13 @@ def batch_search(docs: DataFrame, queries: DataFrame, config: Config = DEFAULT,
     return bm25.search(docs, asked, config)
 
 
+def index_search(index: Index, queries: DataFrame, config: Config = DEFAULT, spellings: tuple[str, ...] = ()) -> DataFrame:
+    """``batch_search`` over a stored index."""
+    asked = queries.select("query_num", rewritten_query(F.col("query_text"), config.expansion_term, spellings).alias("query_text"))
+    scored = bm25.score_index(index.documents, index.postings, index.terms, index.stats, asked, config)
+    return bm25.ranked(scored, config.top_k_retrieval, config.min_score).select("query_num", "rank", "doc_id", "score")
+
+
 def hybrid_search(docs: DataFrame, chunks: DataFrame, queries: DataFrame, query_vectors: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Retrieval, reranking by chunk vectors, diversification and formatting for all queries.
 

@@ -116,6 +116,14 @@ def bm25_batch_search(spark, sf):
     return found.withColumn("score", F.round("score", 6))
 
 
+@query(_scored("SELECT item_id AS query_num, text AS query_text FROM benchmark") + f" SELECT * FROM ({_RANKED}) WHERE rank <= 100")
+def bm25_index_search(spark, sf):
+    """The batch search over index tables instead of texts."""
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_num"), F.col("text").alias("query_text"))
+    found = search.index_search(indexing.build(_documents(spark, sf)), asked, Config(top_k_retrieval=100))
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH {_INDEX} SELECT term, doc_freq, CAST(total_freq AS BIGINT) AS total_freq, round(ln(((SELECT count(*) FROM doc_stats) - doc_freq + 0.5) / (doc_freq + 0.5)), 6) AS idf FROM terms WHERE term IN ('licensed', 'apache', 'clown', 'nothing')")
 def bm25_term_lookup(spark, sf):
     tokenised = bm25.tokenized(_documents(spark, sf))
