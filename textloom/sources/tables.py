@@ -19,7 +19,7 @@ URLS = T.StructType(
         T.StructField("incoming", LINK),
         T.StructField("domainLinkingDepth", T.ByteType()),
         T.StructField("linkingDepth", T.ByteType()),
-        T.StructField("tueEngScore", T.DoubleType()),
+        T.StructField("pageScore", T.DoubleType()),
     ]
 )
 FRONTIER = T.StructType(
