@@ -134,3 +134,11 @@ def test_streams_equal_batches(spark, tmp_path):
     _drain(stream.writeStream.foreachBatch(health.index_batch(str(tmp_path / "index"))).option("checkpointLocation", str(tmp_path / "c2")).start())
     assert spark.read.parquet(str(tmp_path / "index/documents")).count() == 6
     assert spark.read.parquet(str(tmp_path / "index/postings")).count() == 12
+
+
+def test_overlay_and_seeds(spark):
+    stored = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "url string, n int, t string")
+    pending = spark.createDataFrame([("b", None, "z"), ("c", 3, None)], "url string, n int, t string")
+    got = sorted(map(tuple, tables.overlay(pending, stored, "url").collect()))
+    assert got == [("a", 1, "x"), ("b", 2, "z"), ("c", 3, None)]
+    assert sorted(r.url for r in tables.seed_urls(spark, ["a", " a ", "", "b"]).collect()) == ["a", "b"]

@@ -125,3 +125,20 @@ def exported_ranks(results: DataFrame) -> DataFrame:
     """Results (query_id, url, score) ranked anew by score in each query."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "url")
     return results.withColumn("rank", F.row_number().over(order))
+
+
+def overlay(pending: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Rows of both, pending values before stored ones: what a point lookup through a cache would see."""
+    new = pending.select(F.col(key), F.struct(*[c for c in stored.columns if c != key]).alias("new_row"))
+    joined = stored.join(new, key, "full")
+    return joined.select(key, *[F.coalesce(F.col(f"new_row.{c}"), F.col(c)).alias(c) for c in stored.columns if c != key])
+
+
+def seed_urls(spark: SparkSession, seeds: Sequence[str]) -> DataFrame:
+    """Seeds as a table, each once, blank ones left out."""
+    return spark.createDataFrame([(s.strip(),) for s in seeds if s.strip()], "url string").distinct()
+
+
+def save_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
+    """A table bucketed and sorted by ``key``, so that joins on it need no shuffle."""
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
