@@ -38,7 +38,7 @@ class _Numbers(dict):
     """Word to hashed number, cached; 0 stands before the first word."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 800_000:
             self.clear()
         self[word] = number = max(1, zlib.crc32(word.encode()) & ((1 << WORD_BITS) - 1))
         return number
@@ -77,6 +77,7 @@ class Models:
         self._totals = self.words.sum(axis=0, dtype=float)
         self._rest = np.minimum(self.words, DISCOUNT).sum(axis=0) / np.maximum(self._totals, 1)
         self._rest[self._totals == 0] = 1.0
+        self._lower = self._inverse = self._beyond = self._slot = None
 
     def ratios(self, numbers: np.ndarray, own: int | None = None) -> np.ndarray:
         """Toxic less ordinary log-likelihood of each bigram; with ``own``, the text's counts are out of that class."""
@@ -96,6 +97,27 @@ class Models:
         logs = np.log(np.maximum(p, 1e-300))
         return logs[:, 1] - logs[:, 0]
 
+    def prepare(self) -> None:
+        """Make the tables that scoring reads; each worker does so once."""
+        if self._lower is None:
+            n = self.words.astype(float)
+            lower = np.maximum(n - DISCOUNT, 0) / np.maximum(self._totals, 1) + self._rest * self.shared[:, None]
+            self._lower, self._inverse = lower.astype(np.float32), np.where(self.contexts > 0, 1 / np.maximum(self.contexts, 1), 0).astype(np.float32)
+            self._slot = np.full(1 << PAIR_BITS, -1, np.int32)
+            self._slot[self.pairs] = np.arange(len(self.pairs))
+            self._beyond = np.maximum(self.pair_counts - DISCOUNT, 0).astype(np.float32)
+
+    def plain_ratios(self, numbers: np.ndarray) -> np.ndarray:
+        """``ratios`` with nothing taken out, from the prepared tables."""
+        keys = pair_keys(numbers)
+        left, word = keys >> WORD_BITS, keys & ((1 << WORD_BITS) - 1)
+        p = self.held_back[left] * self._lower[word]
+        at = self._slot[pair_bucket(keys)]
+        place = np.flatnonzero(at >= 0)
+        at = at[place]
+        p[place] += self._beyond[at] * self._inverse[left[place]]
+        return np.log(np.maximum(p[:, 1], 1e-37) / np.maximum(p[:, 0], 1e-37))
+
     def score(self, text: str) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.measures(word_numbers(text)) @ self.beta, -50, 50))))
 
@@ -103,7 +125,7 @@ class Models:
         """The ratio a bigram, that of clear bigrams each and by the square root of their number, beside a constant."""
         if not len(numbers):
             return np.array([0.0, 0.0, 0.0, 1.0])
-        ratios = self.ratios(numbers, own)
+        ratios = self.ratios(numbers, own) if own is not None or self._lower is None else self.plain_ratios(numbers)
         clear = np.maximum(ratios - CLEAR, 0).sum()
         return np.array([ratios.mean(), clear / len(ratios), clear / np.sqrt(len(ratios)), 1.0])
 
@@ -171,7 +193,7 @@ def train(pairs: DataFrame) -> Models:
     order = np.argsort(held["at"].to_numpy())
     counts = np.column_stack([held["ordinary"].to_numpy(), held["toxic"].to_numpy()])[order].astype(np.int32)
     back = np.where(contexts > 0, backed / np.maximum(contexts, 1), 1.0)
-    return Models(words.astype(np.int64), contexts, back.astype(np.float32), shared, held["at"].to_numpy()[order], counts, np.zeros(4))
+    return Models(words.astype(np.int64), contexts, back.astype(np.float32), shared, held["at"].to_numpy()[order].astype(np.int64), counts, np.zeros(4))
 
 
 def _dense(size: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -234,6 +256,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_ou
 
     def start():
         models = held.value
+        models.prepare()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             score = np.array([models.score(t) for t in strings(batch.column(1))])
