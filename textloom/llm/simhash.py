@@ -328,7 +328,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = near_duplicates(docs, id_col=id_col, text_col=text_col).where("doc_id is not null")
     ids, _ = stored(found.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("rows")))
     gone = ids.where("least < doc_id").select(F.col("doc_id").alias("gone_id"))
-    out = docs.join(gone, docs[id_col] == F.col("gone_id"), "left_anti")
+    # The ids that go grow with the corpus: they are never broadcast, at no size.
+    out = docs.join(gone.hint("merge"), docs[id_col] == F.col("gone_id"), "left_anti")
     if not ids.where("rows > 1").isEmpty():
         out = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
     return out
