@@ -316,6 +316,8 @@ def near_duplicates(docs: DataFrame, budget: int = 3, group_limit: int = GROUP_L
     least = linked.groupBy("root").agg(F.min("least").alias("least"))
     classes = linked.select("fp", "root").join(least, "root").select("fp", F.col("least").alias("reached"))
     classes = fps.join(classes, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id"))
+    # Stored, so that the last join stands alone and AQE can split the partition of a fingerprint that many rows share.
+    classes, _ = stored(classes)
     return signs.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
