@@ -1,6 +1,7 @@
 """Classifiers by held-out accuracy, decontamination by brute force, URL rules, and the pipeline."""
 
 import random
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -78,6 +79,38 @@ def test_toxic_counts_follow_the_texts(spark):
     assert spread["a"] == spread["b"] > spread["c"] > model.shared[toxicity.word_numbers("zzz")[0]]
 
 
+def test_toxic_words_and_bigrams_stay_apart(spark):
+    """Words that share 20 bits of crc32, or bigrams that shared one of 2^22 buckets, have counts of their own."""
+    rng, seen, twins = random.Random(6), {}, []
+    for word in {"".join(rng.choices("abcdefghij", k=9)) for _ in range(20000)}:
+        other = seen.setdefault(zlib.crc32(word.encode()) & 0xFFFFF, word)
+        twins += [(other, word)] if other != word else []
+    assert len(twins) > 100
+    for a, b in twins[:20]:
+        assert toxicity.word_numbers(a)[0] != toxicity.word_numbers(b)[0]
+    (a, b), *_ = twins
+    rows = [(a, 0)] * 5 + [(b, 1)] * 7
+    pairs = toxicity.count_pairs(spark.createDataFrame(rows, "text string, label int"))
+    model = toxicity.train(pairs)
+    assert model.words[toxicity.word_numbers(a)[0]].tolist() == [5, 0] and model.words[toxicity.word_numbers(b)[0]].tolist() == [0, 7]
+    assert sorted((r.ordinary, r.toxic) for r in toxicity.often(pairs).collect()) == [(0, 7), (5, 0)]
+    many = spark.createDataFrame([(" ".join(f"v{k}" for k in range(60000)), 0)], "text string, label int")
+    assert len(toxicity.train(toxicity.count_pairs(many)).words.keys) == toxicity.count_pairs(many).count() == 60000
+
+
+@needs_tables
+def test_toxic_rounds_and_left_out_words_change_no_score(spark, tables, monkeypatch):
+    docs, labels = tables["documents"], tables["labels"]
+    whole = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    monkeypatch.setattr(toxicity, "PAIRS_AT_ONCE", 600)
+    parts = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    assert len(parts) == len(whole) and max(abs(parts[k] - whole[k]) for k in whole) < 1e-6
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda pairs, least=0: train(pairs))
+    full = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    assert max(abs(full[k] - whole[k]) for k in whole) < 1e-5
+
+
 @needs_tables
 def test_language(tables, odd):
     docs = tables["documents"]

@@ -7,13 +7,18 @@ text counts each of its different bigrams once, so that one that repeats itself
 difference of the two log-likelihoods, and that of the expressions clearly in favour of toxic, both normalised by length,
 are calibrated to a probability on a bounded sample, in which a text's own counts are taken out of the models first.
 
-Words and bigrams are hashed into fixed ranges, which bounds the models whatever the corpus.
+Words are 64-bit hashes and bigrams pairs of them, counted in a written table that grows with the corpus. From it scoring
+reads the bigrams seen more often than the discount, the left neighbours of such and the words seen so often: for all
+others both classes' probabilities differ by the same factor, so that leaving them out changes no score. These tables are
+as large as the corpus makes them, and a lookup compares the whole key; bigrams beyond ``PAIRS_AT_ONCE`` are scored in
+further rounds over the texts, whose sums add up.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +28,6 @@ from pyspark.sql import functions as F
 
 from textloom.llm.batches import drop_stored, fold, hash_sample, map_rows, slices, stored, strings
 
-WORD_BITS, PAIR_BITS = 20, 22
 DISCOUNT = 3
 #: Log-likelihood ratio of a place from which it is clearly in favour of toxic.
 CLEAR = 1.5
@@ -31,16 +35,18 @@ CLEAR = 1.5
 CALIBRATION = 1500
 #: Label rows up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
+#: Bigrams that workers hold at a time.
+PAIRS_AT_ONCE = 10_000_000
 _WORDS = re.compile(r"[^\W_]+").findall
 
 
 class _Numbers(dict):
-    """Word to hashed number, cached; 0 stands before the first word."""
+    """Word to 64-bit hash, cached; 0 stands before the first word."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > 800_000:
             self.clear()
-        self[word] = number = max(1, zlib.crc32(word.encode()) & ((1 << WORD_BITS) - 1))
+        self[word] = number = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) or 1
         return number
 
 
@@ -52,161 +58,227 @@ def word_numbers(text: str) -> np.ndarray:
     return np.fromiter(map(_numbers.__getitem__, tokens), np.int64, len(tokens))
 
 
-def pair_keys(numbers: np.ndarray) -> np.ndarray:
-    """A text's different bigrams, left neighbour and word in one number."""
-    return np.unique(np.r_[0, numbers[:-1]] << WORD_BITS | numbers) if len(numbers) else numbers
-
-
-def pair_bucket(keys: np.ndarray) -> np.ndarray:
-    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+def pair_keys(left: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each bigram."""
+    mixed = left.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = ((mixed ^ (mixed >> np.uint64(29))) + word.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)).view(np.int64)
+
+
+def bigrams(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A text's different bigrams: left neighbours, words and keys."""
+    left = np.concatenate([np.zeros(1, np.int64), numbers[:-1]])[: len(numbers)]
+    keys, at = np.unique(pair_keys(left, numbers), return_index=True)
+    return left[at], numbers[at], keys
+
+
+class Table:
+    """Values by 64-bit key, as many buckets as keys; whole keys are compared, and others have the value ``default``."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, default) -> None:
+        order = np.argsort(keys.view(np.uint64))
+        self.keys, self.values, self.default = keys[order], values[order], default
+        self._shift = np.uint64(64 - max(1, len(keys).bit_length()))
+        self._start = np.searchsorted(self.keys.view(np.uint64) >> self._shift, np.arange((1 << 64 - int(self._shift)) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's row, or -1."""
+        bucket = (keys.view(np.uint64) >> self._shift).astype(np.int64)
+        at, end, out = self._start[bucket], self._start[bucket + 1], np.full(len(keys), -1, np.int64)
+        rest = np.flatnonzero(at < end)
+        while len(rest):
+            here = at[rest]
+            hit = self.keys[here] == keys[rest]
+            out[rest[hit]] = here[hit]
+            rest = rest[~hit]
+            at[rest] += 1
+            rest = rest[at[rest] < end[rest]]
+        return out
+
+    def __getitem__(self, keys):
+        at = self.find(np.atleast_1d(np.asarray(keys, np.int64)))
+        if len(self.keys):
+            out = self.values[at]
+            out[at < 0] = self.default
+        else:
+            out = np.full((len(at), *self.values.shape[1:]), self.default, self.values.dtype)
+        return out if np.ndim(keys) else out[0]
 
 
 @dataclass
 class Models:
     """Both classes' counts (column 0 ordinary, 1 toxic) and the calibration."""
 
-    words: np.ndarray  # occurrences of each word number
-    contexts: np.ndarray  # of each left neighbour
-    held_back: np.ndarray  # share of each left neighbour's mass left to the backoff
-    shared: np.ndarray  # shared backoff probability of each word number
-    pairs: np.ndarray  # sorted buckets of bigrams seen more often than the discount
-    pair_counts: np.ndarray
+    words: Table  # occurrences of each word
+    contexts: Table  # of each left neighbour
+    held_back: Table  # share of each left neighbour's mass left to the backoff
+    shared: Table  # shared backoff probability of each word
+    totals: np.ndarray  # all occurrences
+    rest: np.ndarray  # share of them left to the shared backoff
     beta: np.ndarray
 
-    def __post_init__(self) -> None:
-        self._totals = self.words.sum(axis=0, dtype=float)
-        self._rest = np.minimum(self.words, DISCOUNT).sum(axis=0) / np.maximum(self._totals, 1)
-        self._rest[self._totals == 0] = 1.0
-        self._lower = self._inverse = self._beyond = self._slot = None
-
-    def ratios(self, numbers: np.ndarray, own: int | None = None) -> np.ndarray:
-        """Toxic less ordinary log-likelihood of each bigram; with ``own``, the text's counts are out of that class."""
-        keys = pair_keys(numbers)
-        left, word, bucket = keys >> WORD_BITS, keys & ((1 << WORD_BITS) - 1), pair_bucket(keys)
-        n, context = self.words[word].astype(float), self.contexts[left].astype(float)
-        pair = np.zeros((len(keys), 2))
-        if len(self.pairs):
-            at = np.minimum(np.searchsorted(self.pairs, bucket), len(self.pairs) - 1)
-            pair[:] = np.where((self.pairs[at] == bucket)[:, None], self.pair_counts[at], 0)
+    def lower(self, word: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.maximum(n - DISCOUNT, 0) / np.maximum(self.totals, 1) + self.rest * self.shared[word][:, None]
+
+    def ratios(self, left: np.ndarray, word: np.ndarray, pair: np.ndarray, own: int | None = None) -> np.ndarray:
+        """Toxic less ordinary log-likelihood of bigrams seen ``pair`` times; with ``own``, those of one text, whose counts are taken out of that class."""
+        n, context, pair = self.words[word], self.contexts[left], pair.astype(float)
         if own is not None:
-            for seen, table in ((word, n), (left, context), (bucket, pair)):
+            pair[:, own] = np.maximum(pair[:, own] - 1, 0)
+            for seen, table in ((word, n), (left, context)):
                 _, place, count = np.unique(seen, return_inverse=True, return_counts=True)
                 table[:, own] = np.maximum(table[:, own] - count[place], 0)
-        lower = np.maximum(n - DISCOUNT, 0) / np.maximum(self._totals, 1) + self._rest * self.shared[word][:, None]
+        lower = self.lower(word, n)
         p = np.where(context > 0, np.maximum(pair - DISCOUNT, 0) / np.maximum(context, 1) + self.held_back[left] * lower, lower)
         logs = np.log(np.maximum(p, 1e-300))
         return logs[:, 1] - logs[:, 0]
 
-    def prepare(self) -> None:
-        """Make the tables that scoring reads; each worker does so once."""
-        if self._lower is None:
-            n = self.words.astype(float)
-            lower = np.maximum(n - DISCOUNT, 0) / np.maximum(self._totals, 1) + self._rest * self.shared[:, None]
-            self._lower, self._inverse = lower.astype(np.float32), np.where(self.contexts > 0, 1 / np.maximum(self.contexts, 1), 0).astype(np.float32)
-            self._slot = np.full(1 << PAIR_BITS, -1, np.int32)
-            self._slot[self.pairs] = np.arange(len(self.pairs))
-            self._beyond = np.maximum(self.pair_counts - DISCOUNT, 0).astype(np.float32)
-
-    def plain_ratios(self, numbers: np.ndarray) -> np.ndarray:
-        """``ratios`` with nothing taken out, from the prepared tables."""
-        keys = pair_keys(numbers)
-        left, word = keys >> WORD_BITS, keys & ((1 << WORD_BITS) - 1)
-        p = self.held_back[left] * self._lower[word]
-        at = self._slot[pair_bucket(keys)]
-        place = np.flatnonzero(at >= 0)
-        at = at[place]
-        p[place] += self._beyond[at] * self._inverse[left[place]]
-        return np.log(np.maximum(p[:, 1], 1e-37) / np.maximum(p[:, 0], 1e-37))
-
-    def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.measures(word_numbers(text)) @ self.beta, -50, 50))))
-
-    def measures(self, numbers: np.ndarray, own: int | None = None) -> np.ndarray:
-        """The ratio a bigram, that of clear bigrams each and by the square root of their number, beside a constant."""
-        if not len(numbers):
-            return np.array([0.0, 0.0, 0.0, 1.0])
-        ratios = self.ratios(numbers, own) if own is not None or self._lower is None else self.plain_ratios(numbers)
-        clear = np.maximum(ratios - CLEAR, 0).sum()
-        return np.array([ratios.mean(), clear / len(ratios), clear / np.sqrt(len(ratios)), 1.0])
+
+@dataclass
+class Scorer:
+    """What workers read: the parts of a bigram's ratio by its word and left neighbour, and whole ratios of frequent ones."""
+
+    words: Table
+    lefts: Table
+    pairs: Table
+    first: bool  # of the rounds; later ones give what their bigrams change
+
+    @classmethod
+    def of(cls, models: Models, pairs: Table, first: bool) -> Scorer:
+        lower = np.log(models.lower(models.words.keys, models.words.values))
+        held = np.log(models.held_back.values)
+        unseen = np.log(models.rest)
+        words = Table(models.words.keys, (lower[:, 1] - lower[:, 0]).astype(np.float32), np.float32(unseen[1] - unseen[0]))
+        return cls(words, Table(models.held_back.keys, (held[:, 1] - held[:, 0]).astype(np.float32), np.float32(0)), pairs, first)
+
+    def sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's number of bigrams, sum of ratios and sum of what clear ones have beyond ``CLEAR``."""
+        held = [bigrams(word_numbers(t)) for t in texts]
+        sizes = np.array([len(k) for _, _, k in held], np.int64)
+        left, word, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+        text = np.repeat(np.arange(len(texts)), sizes)
+        ratios = (self.lefts[left] + self.words[word]).astype(float)
+        at = self.pairs.find(keys)
+        hit = np.flatnonzero(at >= 0)
+        whole = self.pairs.values[at[hit]].astype(float)
+        if self.first:
+            ratios[hit] = whole
+            return sizes, np.bincount(text, ratios, len(texts)), np.bincount(text, np.maximum(ratios - CLEAR, 0), len(texts))
+        clear = np.maximum(whole - CLEAR, 0) - np.maximum(ratios[hit] - CLEAR, 0)
+        return sizes, np.bincount(text[hit], whole - ratios[hit], len(texts)), np.bincount(text[hit], clear, len(texts))
+
+
+def measures(ratios: np.ndarray) -> np.ndarray:
+    """The ratio a bigram, that of clear bigrams each and by the square root of their number, beside a constant."""
+    if not len(ratios):
+        return np.array([0.0, 0.0, 0.0, 1.0])
+    clear = np.maximum(ratios - CLEAR, 0).sum()
+    return np.array([ratios.mean(), clear / len(ratios), clear / np.sqrt(len(ratios)), 1.0])
+
+
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Equal bigrams of (left, word, ordinary, toxic) added up; equal words side by side, which compresses."""
+    left, word, *counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    near = word.view(np.uint64) >> np.uint64(40) << np.uint64(40) | pair_keys(left, word).view(np.uint64) >> np.uint64(24)
+    order = np.argsort(near)
+    left, word = left[order], word[order]
+    starts = np.flatnonzero(np.r_[True, (left[1:] != left[:-1]) | (word[1:] != word[:-1])][: len(left)])
+    return left[starts], word[starts], *(np.add.reduceat(c[order], starts) if len(starts) else c for c in counts)
 
 
 def count_pairs(rows: DataFrame) -> DataFrame:
-    """``key, n`` over rows of (text, label): the key is a bigram and the label. Tasks sum up before the shuffle."""
+    """``left, word, ordinary, toxic`` over rows of (text, label): each bigram's counts. Tasks sum up before the shuffle."""
+    names = ["left", "word", "ordinary", "toxic"]
 
     def run(batches):
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        fresh: list[np.ndarray] = []
+        parts: list[tuple[np.ndarray, ...]] = []
         waiting = 0
 
-        def emit():
-            parts.append(np.unique(np.concatenate(fresh), return_counts=True))
-            fresh.clear()
-            keys = np.concatenate([k for k, _ in parts])
-            distinct, place = np.unique(keys, return_inverse=True)
-            n = np.bincount(place, np.concatenate([c for _, c in parts])).astype(np.int64)
-            parts[:] = [(distinct, n)]
+        def pieces(held):
+            for at in range(0, len(held[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in held], names=names)
 
         for batch in slices(batches, 0):
             for text, label in zip(strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                fresh.append(pair_keys(word_numbers(text)) << 1 | label)
-                waiting += len(fresh[-1])
+                left, word, _ = bigrams(word_numbers(text))
+                parts.append((left, word, np.full(len(left), 1 - label), np.full(len(left), label)))
+                waiting += len(left)
             if waiting > 2_000_000:
-                emit()
+                parts[:] = [_summed(parts)]
                 waiting = 0
                 if len(parts[0][0]) > 2_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts.pop()], names=["key", "n"])
-        if fresh or parts:
-            fresh.append(np.zeros(0, np.int64))
-            emit()
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], names=["key", "n"])
-
-    return rows.select("text", "label").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def train(pairs: DataFrame) -> Models:
-    """Models from ``count_pairs``; only tables of a size fixed by the hash ranges come to the driver."""
-    label, word, left = "cast(key & 1 as int)", f"cast(shiftright(key, 1) & {(1 << WORD_BITS) - 1} as int)", f"cast(shiftright(key, {WORD_BITS + 1}) as int)"
-
-    def table(frame: DataFrame, *columns: str, size: int = 1 << WORD_BITS) -> list[np.ndarray]:
-        held = frame.toArrow()
-        at = held["at"].to_numpy()
-        if "label" not in held.column_names:
-            return [_dense(size, at, held[c].to_numpy()) for c in columns]
-        y = held["label"].to_numpy()
-        return [np.column_stack([_dense(size, at[y == k], held[c].to_numpy()[y == k]) for k in (0, 1)]) for c in columns]
-
-    (words,) = table(pairs.groupBy(F.expr(word).alias("at"), F.expr(label).alias("label")).agg(F.sum("n").alias("n")), "n")
-    lefts = pairs.groupBy(F.expr(left).alias("at"), F.expr(label).alias("label"))
-    contexts, backed = table(lefts.agg(F.sum("n").alias("n"), F.sum(F.least("n", F.lit(DISCOUNT))).alias("backed")), "n", "backed")
+                    yield from pieces(parts.pop())
+        if parts:
+            yield from pieces(_summed(parts))
+
+    counted = rows.select("text", "label").mapInArrow(run, "left long, word long, ordinary long, toxic long")
+    return counted.groupBy("left", "word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+
+
+def often(pairs: DataFrame) -> DataFrame:
+    return pairs.where((F.col("ordinary") > DISCOUNT) | (F.col("toxic") > DISCOUNT))
+
+
+def train(pairs: DataFrame, least: int = 0) -> Models:
+    """Models from ``count_pairs``, of words and of left neighbours of bigrams that a class has more than ``least`` times."""
+    top = F.greatest("ordinary", "toxic")
+    both = [F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")]
+
+    def columns(held: pa.Table, *names: str) -> np.ndarray:
+        return np.column_stack([held[n].to_numpy() for n in names]).astype(float)
+
     # The shared backoff: distinct left neighbours of each word, whichever class they were seen in.
-    wide = pairs.groupBy(F.shiftright("key", 1).alias("pair")).agg(F.sum("n").alias("n"))
-    (spread,) = table(wide.groupBy(F.expr(f"cast(pair & {(1 << WORD_BITS) - 1} as int)").alias("at")).agg(F.count("*").alias("n")), "n")
-    shared = (spread + 0.5) / (spread.sum() + 0.5 * len(spread))
+    words = pairs.groupBy("word").agg(*both, F.count("*").alias("spread"))
+    few = [F.sum(F.least(c, F.lit(DISCOUNT))).alias(f"few_{c}") for c in ("ordinary", "toxic")]
+    whole = words.agg(*both, *few, F.sum("spread").alias("spread"), F.count("*").alias("n")).toArrow()
+    whole = {c: float(whole[c][0].as_py() or 0) for c in whole.column_names}
+    totals = np.array([whole["ordinary"], whole["toxic"]])
+    rest = np.where(totals > 0, np.array([whole["few_ordinary"], whole["few_toxic"]]) / np.maximum(totals, 1), 1.0)
+    mass = whole["spread"] + 0.5 * (whole["n"] + 1)
+    held = words.where(top > least).toArrow()
+    at = held["word"].to_numpy()
+    tables = [Table(at, columns(held, "ordinary", "toxic"), 0.0), Table(at, (columns(held, "spread")[:, 0] + 0.5) / mass, 0.5 / mass)]
+    few = [F.sum(F.least(c, F.lit(DISCOUNT))).alias(f"few_{c}") for c in ("ordinary", "toxic")]
+    held = pairs.groupBy("left").agg(*both, *few, F.max(top).alias("top")).where(F.col("top") > least).toArrow()
+    at, contexts = held["left"].to_numpy(), columns(held, "ordinary", "toxic")
+    back = np.where(contexts > 0, columns(held, "few_ordinary", "few_toxic") / np.maximum(contexts, 1), 1.0)
+    return Models(tables[0], Table(at, contexts, 0.0), Table(at, back, 1.0), tables[1], totals, rest, np.zeros(4))
+
+
+def rated(pairs: DataFrame, models: Models) -> DataFrame:
+    """``key, ratio`` of bigrams; what ``ratios`` gives for them."""
+    held = pairs.sparkSession.sparkContext.broadcast(models)
 
-    def to_buckets(batches):
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(pair_bucket(keys >> 1).astype(np.int32)), pa.array((keys & 1).astype(np.int32)), batch.column(1)], names=["at", "label", "n"])
+    def run(batches):
+        for batch in slices(batches):
+            left, word, a, b = (c.to_numpy() for c in batch.columns)
+            ratio = held.value.ratios(left, word, np.column_stack([a, b])).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(left, word)), pa.array(ratio)], names=["key", "ratio"])
+
+    return pairs.mapInArrow(run, "key long, ratio float")
 
-    often = pairs.where(F.col("n") > DISCOUNT).select("key", "n").mapInArrow(to_buckets, "at int, label int, n long")
-    held = often.groupBy("at").agg(F.sum(F.expr("if(label = 0, n, 0)")).alias("ordinary"), F.sum(F.expr("if(label = 1, n, 0)")).alias("toxic")).toArrow()
-    order = np.argsort(held["at"].to_numpy())
-    counts = np.column_stack([held["ordinary"].to_numpy(), held["toxic"].to_numpy()])[order].astype(np.int32)
-    back = np.where(contexts > 0, backed / np.maximum(contexts, 1), 1.0)
-    return Models(words.astype(np.int64), contexts, back.astype(np.float32), shared, held["at"].to_numpy()[order].astype(np.int64), counts, np.zeros(4))
 
+def counts_of(pairs: DataFrame, keys: np.ndarray) -> Table:
+    """Both classes' counts of the bigrams with ``keys``."""
+    wanted = pairs.sparkSession.sparkContext.broadcast(np.sort(keys))
+
+    def run(batches):
+        for batch in batches:
+            key = pair_keys(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            at = np.minimum(np.searchsorted(wanted.value, key), max(0, len(wanted.value) - 1))
+            kept = pa.array(wanted.value[at] == key if len(wanted.value) else np.zeros(len(key), bool))
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(2), batch.column(3)], names=["key", "ordinary", "toxic"]).filter(kept)
 
-def _dense(size: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
-    out = np.zeros(size)
-    out[at] = values
-    return out
+    held = pairs.mapInArrow(run, "key long, ordinary long, toxic long").toArrow()
+    return Table(held["key"].to_numpy(), np.column_stack([held["ordinary"].to_numpy(), held["toxic"].to_numpy()]).astype(float), 0.0)
 
 
-def calibrate(models: Models, sample: list[tuple[str, int]], sizes: dict[int, int]) -> None:
+def calibrate(models: Models, frequent: DataFrame, sample: list[tuple[str, int]], sizes: dict[int, int]) -> None:
     """Logistic fit (Newton, with a little shrinkage) of labels on the ratio's measures; labels weigh as they occur."""
-    numbers = [word_numbers(t) for t, _ in sample]
+    held = [bigrams(word_numbers(t)) for t, _ in sample]
+    counts = counts_of(frequent, np.unique(np.concatenate([keys for _, _, keys in held])))
     y = np.array([label for _, label in sample], float)
-    x = np.array([models.measures(n, int(label)) for n, label in zip(numbers, y, strict=True)])
+    x = np.array([measures(models.ratios(left, word, counts[keys], int(label))) for (left, word, keys), label in zip(held, y, strict=True)])
     w = np.where(y == 1, sizes.get(1, 0) / max(1, (y == 1).sum()), sizes.get(0, 0) / max(1, (y == 0).sum()))
     w = w / w.mean()
     scale = np.abs(x).mean(axis=0) + 1e-9
@@ -222,24 +294,40 @@ def calibrate(models: Models, sample: list[tuple[str, int]], sizes: dict[int, in
     models.beta = beta / scale
 
 
-def fit(rows: DataFrame, labels: DataFrame) -> Models:
-    """Models from all of ``rows`` (doc_id, text) that ``labels`` (doc_id, label of 0 or 1) covers."""
+def fit(rows: DataFrame, labels: DataFrame) -> tuple[Models, DataFrame, str]:
+    """Models from all of ``rows`` (doc_id, text) that ``labels`` (doc_id, label of 0 or 1) covers, the bigrams counted and their path."""
     known = labels.where("label in (0, 1)").distinct()
     sizes = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     held = F.broadcast(known) if sum(sizes.values()) <= BROADCAST_LABELS else known
     pairs, path = stored(count_pairs(rows.join(held, "doc_id").select("text", "label")))
-    models = train(pairs)
-    drop_stored(rows.sparkSession, path)
+    models = train(pairs, DISCOUNT)
     sample: list[tuple[str, int]] = []
     for label in sizes:
         wanted = hash_sample(known.where(F.col("label") == label), CALIBRATION, "doc_id")
         wanted = rows.sparkSession.createDataFrame(wanted.toPandas(), "doc_id long, label int")  # bounded by the sample
         sample += [(r.text or "", r.label) for r in rows.join(F.broadcast(wanted), "doc_id").select("text", "label").limit(2 * CALIBRATION).toLocalIterator()]
     if len({label for _, label in sample}) == 2:
-        calibrate(models, sample, sizes)
+        calibrate(models, often(pairs), sample, sizes)
     else:
         models.beta = np.array([0.0, 0.0, 0.0, 3.0 if sample and sample[0][1] else -3.0])
-    return models
+    return models, pairs, path
+
+
+def text_sums(rows: DataFrame, scorer: Scorer) -> DataFrame:
+    """``doc_id, held_out, digest, n, total, clear`` of rows (doc_id, text, held_out, digest) from one round's tables."""
+    held = rows.sparkSession.sparkContext.broadcast(scorer)
+
+    def start():
+        scorer = held.value
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            n, total, clear = scorer.sums(strings(batch.column(1)))
+            columns = [pa.array(n), pa.array(total, pa.float64()), pa.array(clear, pa.float64())]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *columns], names=["doc_id", "held_out", "digest", "n", "total", "clear"])
+
+        return work
+
+    return map_rows(rows.select("doc_id", "text", "held_out", "digest"), "doc_id long, held_out boolean, digest string, n long, total double, clear double", start)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_out: tuple[int, int] = (3, 1), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,19 +340,23 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_ou
     rows = docs.selectExpr(f"cast({id_col} as long) doc_id", f"cast({text_col} as string) text")
     rows = rows.withColumn("held_out", F.coalesce(fold("doc_id", held_out[0]) == held_out[1], F.lit(False)))
     known = labels.selectExpr("cast(doc_id as long) doc_id", "cast(toxic as int) label").where(fold("doc_id", held_out[0]) != held_out[1])
-    held = docs.sparkSession.sparkContext.broadcast(fit(rows.where("not held_out").select("doc_id", "text"), known))
-
-    def start():
-        models = held.value
-        models.prepare()
-
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            score = np.array([models.score(t) for t in strings(batch.column(1))])
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))],
-                names=["doc_id", "held_out", "score", "predicted"],
-            )
-
-        return work
-
-    return map_rows(rows.select("doc_id", "text", "held_out"), "doc_id long, held_out boolean, score double, predicted int", start)
+    models, pairs, path = fit(rows.where("not held_out").select("doc_id", "text"), known)
+    frequent = often(pairs)
+    rounds = max(1, math.ceil(frequent.count() / PAIRS_AT_ONCE))
+    rows = rows.withColumn("digest", F.md5(F.coalesce("text", F.lit(""))) if rounds > 1 else F.lit(None).cast("string"))
+    for k in range(rounds):
+        part = rated(frequent.where(F.pmod(F.xxhash64("left", "word"), F.lit(rounds)) == k), models).toArrow()
+        table = Table(part["key"].to_numpy(), part["ratio"].to_numpy(), np.float32(0))
+        sums = text_sums(rows, Scorer.of(models, table, k == 0))
+        if k == 0:
+            out = sums
+            continue
+        # Equal texts have equal sums: one row each, written before the next round's tables are made.
+        more, _ = stored(sums.select("digest", F.col("total").alias("more"), F.col("clear").alias("clearer")).dropDuplicates(["digest"]))
+        out = out.join(more, "digest").withColumns({"total": F.col("total") + F.col("more"), "clear": F.col("clear") + F.col("clearer")}).drop("more", "clearer")
+    drop_stored(docs.sparkSession, path)
+    a, b, c, d = (F.lit(float(x)) for x in models.beta)
+    n = F.greatest("n", F.lit(1))
+    logit = a * F.col("total") / n + b * F.col("clear") / n + c * F.col("clear") / F.sqrt(n) + d
+    out = out.withColumn("score", 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), logit)))))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
