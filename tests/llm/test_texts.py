@@ -115,6 +115,18 @@ def test_random_tokens():
         assert secrets.random_spans(f"see {plain} there") == []
 
 
+def test_random_values_after_equals_signs():
+    for before, token, after in (
+        ("AWS_SECRET_ACCESS_KEY=", "wJalrXUtnFEMI7K4MDENGbPxRfiCYz9aQ3kLm2Tv", "\n"),
+        ("see https://x.org/get?sig=", "Zk3Jd82hGq7Lm1Xp9Rt5Vw", "&se=2024"),
+        ("k=", "Zk3Jd82hGq7Lm1Xp9Rt5Vw==", " "),
+        ("a ==", "Zk3Jd82hGq7Lm1Xp9Rt5Vw", ";"),
+    ):
+        assert secrets.random_spans(before + token + after) == [(len(before), len(before) + len(token))]
+        assert secrets.redact(before + token + after) == before + "[SECRET]" + after
+    assert secrets.random_spans("LONG_SETTING_NAME_2=some-long-value-of-words-2024 and ?page=the-second-part-of-the-story-2") == []
+
+
 def test_secret_query_and_redaction(spark):
     key = "Zk3TqP9xWv7RmB2nLd8YhC5sGf4JtQ6aEu1KoXi0"
     rows = [(1, "token = 'abcdef12' and AKIA" + "A1" * 8, "e"), (2, None, "e"), (3, "", "e"), (None, f"x {key} y", "e"), (4, "plain words", "e"), (4, "plain words", "e")]
