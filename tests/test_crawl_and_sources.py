@@ -36,6 +36,27 @@ def test_depths(spark):
     assert got == {"s": (0, 0), "p": (0, 1), "q": (1, 0)}
 
 
+def test_depths_of_long_and_meeting_paths(spark):
+    """All 35 hops that the limits allow; and a node's two depths from different paths don't make a path of their own."""
+
+    def depths(edges):
+        found, todo = set(), [("s", 0, 0)]
+        while todo:
+            if (state := todo.pop()) not in found and max(state[1:]) <= 5:
+                found.add(state)
+                todo += [(dst, state[1], state[2] + 1) if same else (dst, state[1] + 1, 0) for src, dst, same in edges if src == state[0]]
+        return {n: (min(x for m, x, _ in found if m == n), min(x for m, _, x in found if m == n)) for n, _, _ in found}
+
+    hops = ["s", *[f"p{k}" for k in range(1, 38)]]
+    chain = [(a, b, k % 6 != 5) for k, (a, b) in enumerate(zip(hops, hops[1:], strict=False))]
+    # m is 5 hops within the domain from s, or 1 link: n is one hop further, which only the link's path may go.
+    meeting = [("s", "q1", True), *[(f"q{k}", f"q{k + 1}", True) for k in range(1, 4)], ("q4", "m", True), ("s", "m", False), ("m", "n", True)]
+    seeds = spark.createDataFrame([("s",)], "node string")
+    for edges, some in ((chain, {"p11": (1, 5), "p35": (5, 5)}), (meeting, {"m": (0, 0), "n": (1, 1)})):
+        got = {r.node: (r.link_depth, r.domain_depth) for r in crawl.link_depths(seeds, spark.createDataFrame(edges, "src string, dst string, same_domain boolean")).collect()}
+        assert got == depths(edges) and some.items() <= got.items() and "p36" not in got
+
+
 def test_robots(spark):
     robots = "User-agent: *\nDisallow: /private # no\nAllow: /private/ok\nCrawl-delay: 2\n\nUser-agent: bad\nUser-agent: worse\nDisallow: /\n"
     df = spark.createDataFrame([("a", robots), ("b", None)], "domain string, robots string")

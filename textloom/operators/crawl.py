@@ -105,26 +105,34 @@ def link_depths(seeds: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
 
     Within a domain the domain depth grows; to another one the link depth grows and the domain depth starts at 0. Each
     depth is the least over all paths; paths end beyond ``most`` in either. One join and one aggregation a level.
+
+    A path's two depths belong together, so that ``d0`` to ``dN`` hold the least domain depth of paths of that link depth,
+    null if a smaller link depth has one as small. Paths have ``most`` links to other domains and as many hops within each.
     """
     ensure_checkpoint_dir(seeds.sparkSession)
-    state = seeds.select("node", F.lit(0).alias("link_depth"), F.lit(0).alias("domain_depth")).distinct()
+    none = F.lit(None).cast("int")
+    names = [f"d{k}" for k in range(most + 1)]
+    state = seeds.select("node", F.lit(0).alias("d0"), *[none.alias(n) for n in names[1:]]).distinct()
     fresh = state
-    for level in range(2 * most):
-        step = fresh.join(edges, fresh.node == edges.src).select(
-            F.col("dst").alias("node"),
-            F.when(F.col("same_domain"), F.col("link_depth")).otherwise(F.col("link_depth") + 1).alias("link_depth"),
-            F.when(F.col("same_domain"), F.col("domain_depth") + 1).otherwise(0).alias("domain_depth"),
-        )
-        step = step.where((F.col("link_depth") <= most) & (F.col("domain_depth") <= most))
-        step = step.groupBy("node").agg(F.min("link_depth").alias("link_depth"), F.min("domain_depth").alias("domain_depth"))
-        old = state.select("node", F.col("link_depth").alias("l0"), F.col("domain_depth").alias("d0"))
-        joined = step.join(old, "node", "full")
-        state = joined.select("node", F.least("link_depth", "l0").alias("link_depth"), F.least("domain_depth", "d0").alias("domain_depth"), (F.col("l0").isNull() | (F.col("link_depth") < F.col("l0")) | (F.col("domain_depth") < F.col("d0"))).alias("moved")).checkpoint()
-        fresh = state.where("moved").drop("moved")
-        state = state.drop("moved")
+    for _ in range((most + 1) * most + most):
+        across = [none, *[F.when(F.col(n).isNotNull(), 0) for n in names[:-1]]]
+        within = [F.when(F.col(n) < most, F.col(n) + 1) for n in names]
+        step = fresh.join(edges, fresh.node == edges.src).groupBy(F.col("dst").alias("node"))
+        step = step.agg(*[F.min(F.when(F.col("same_domain"), w).otherwise(x)).alias(f"new_{n}") for n, w, x in zip(names, within, across, strict=True)])
+        step = step.where(" or ".join(f"new_{n} is not null" for n in names))
+        joined = step.join(state, "node", "full")
+        columns, least = [], None
+        for n in names:
+            best = F.least(f"new_{n}", n)
+            best, least = (best, best) if least is None else (F.when(least.isNull() | (best < least), best), F.least(least, best))
+            columns += [best.alias(n), F.when(F.col(n).isNull() | (best < F.col(n)), best).alias(f"moved_{n}")]
+        joined = joined.select("node", *columns).checkpoint()
+        state = joined.select("node", *names)
+        fresh = joined.select("node", *[F.col(f"moved_{n}").alias(n) for n in names]).where(" or ".join(f"{n} is not null" for n in names))
         if fresh.isEmpty():
             break
-    return state
+    link_depth = F.coalesce(*[F.when(F.col(n).isNotNull(), k) for k, n in enumerate(names)])
+    return state.select("node", link_depth.alias("link_depth"), F.array_min(F.array(*names)).alias("domain_depth"))
 
 
 def redirect_ends(redirects: DataFrame, most: int = 5) -> DataFrame:
