@@ -127,6 +127,14 @@ def test_random_values_after_equals_signs():
     assert secrets.random_spans("LONG_SETTING_NAME_2=some-long-value-of-words-2024 and ?page=the-second-part-of-the-story-2") == []
 
 
+def test_random_tokens_of_letters_only():
+    rng = random.Random(7)
+    tokens = ["".join(rng.choices(string.ascii_letters, k=40)) for _ in range(200)]
+    assert sum(bool(secrets.random_spans(f"the key {t} here")) for t in tokens) >= 170
+    for plain in ("ArrayIndexOutOfBoundsException", "AddWavesToBoxPlot", "GetEntSendPropOffs", "HTTPSConnectionPoolManager", "INTERNATIONALIZATION", "Donaudampfschifffahrtsgesellschaft", "incomprehensibilities"):
+        assert secrets.random_spans(f"see {plain} there") == []
+
+
 def test_secret_query_and_redaction(spark):
     key = "Zk3TqP9xWv7RmB2nLd8YhC5sGf4JtQ6aEu1KoXi0"
     rows = [(1, "token = 'abcdef12' and AKIA" + "A1" * 8, "e"), (2, None, "e"), (3, "", "e"), (None, f"x {key} y", "e"), (4, "plain words", "e"), (4, "plain words", "e")]

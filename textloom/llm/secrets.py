@@ -3,8 +3,8 @@
 For a candidate token the encoding is inferred from its characters. Two questions are asked of it. Is it random: a
 chi-squared test of alphabet uniformity, a runs test about the alphabet's middle and a lag-one serial correlation, all
 under the inferred alphabet, must not reject randomness (Bonferroni over the three). Is it not text: character
-coincidences, changes between digits, capitals and small letters, and the membership of the whole token in a small
-alphabet give a p-value under a model of ordinary words. Evidence grows with length by itself. Over all candidates of a
+coincidences, changes between digits, capitals and small letters (in tokens of letters: capitals side by side), and the
+membership of the whole token in a small alphabet (in tokens of letters: rare ones) give a p-value under a model of ordinary words. Evidence grows with length by itself. Over all candidates of a
 document the p-values go through a Benjamini-Hochberg step whose weights favour long tokens.
 """
 
@@ -33,17 +33,21 @@ _DIGITS, _SMALL, _CAPITAL = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFG
 ENCODINGS = (
     ("hex", _DIGITS + "abcdef"),
     ("HEX", _DIGITS + "ABCDEF"),
+    ("small", _SMALL),
+    ("CAPITAL", _CAPITAL),
     ("base32", _CAPITAL + "234567"),
     ("base36", _DIGITS + _SMALL),
     ("BASE36", _DIGITS + _CAPITAL),
+    ("letters", _CAPITAL + _SMALL),
     ("base62", _CAPITAL + _SMALL + _DIGITS),
     ("base64", _CAPITAL + _SMALL + _DIGITS + "+/"),
     ("base64url", _CAPITAL + _SMALL + _DIGITS + "-_"),
 )
 _ALPHABETS = tuple((name, {c: k for k, c in enumerate(letters)}) for name, letters in ENCODINGS)
 
-#: Ordinary words: chance that two characters agree, that neighbours differ in class, and that one is in [0-9a-f].
-TEXT_COINCIDENCE, TEXT_CHANGE, TEXT_HEX = 0.066, 0.08, 0.36
+#: Ordinary words: chance that two characters agree, that neighbours differ in class, that letters of words run together
+#: are neighbouring capitals, that one is one of the six rarest, and that one is in [0-9a-f].
+TEXT_COINCIDENCE, TEXT_CHANGE, TEXT_CAPITALS, TEXT_RARE, TEXT_HEX = 0.066, 0.08, 0.06, 0.05, 0.36
 
 
 def _normal_tail(z: float) -> float:
@@ -95,8 +99,14 @@ def wordlikeness(token: str, name: str) -> float:
     spread = math.sqrt(pairs * TEXT_COINCIDENCE * (1 - TEXT_COINCIDENCE) + n**3 * 0.0008)
     few = _normal_tail((TEXT_COINCIDENCE * pairs - seen) / spread)
     kinds = [0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in token]
-    changes = _binomial_tail(sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)), n - 1, TEXT_CHANGE)
+    if name == "letters":
+        # Words run together change case at each one, but seldom have capitals side by side.
+        changes = _binomial_tail(sum(a == b == 1 for a, b in zip(kinds, kinds[1:], strict=False)), n - 1, TEXT_CAPITALS)
+    else:
+        changes = _binomial_tail(sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)), n - 1, TEXT_CHANGE)
     member = TEXT_HEX**n if name in ("hex", "HEX") else 1.0
+    if name in ("small", "CAPITAL", "letters"):
+        member = _binomial_tail(sum(c in "jkqvxz" for c in token.lower()), n, TEXT_RARE)
     # Fisher's sum of three independent p-values has 6 degrees of freedom.
     half = -(math.log(max(few, 1e-300)) + math.log(max(changes, 1e-300)) + math.log(max(member, 1e-300)))
     return math.exp(-half) * (1 + half + half * half / 2)
@@ -110,7 +120,7 @@ def random_spans(text: str, rate: float = 1e-4, alpha: float = 1e-3) -> list[tup
         if len(token) < 16:
             continue
         found = infer_encoding(token)
-        p = 1.0 if found is None or not any(c.isdigit() for c in token) or token.isdigit() else wordlikeness(token, found[0])
+        p = 1.0 if found is None or token.isdigit() else wordlikeness(token, found[0])
         family.append((p, float(len(token)), match.start(), match.end(), token, found and found[1]))
     if not family or min(f[0] for f in family) > rate:
         return []
