@@ -98,25 +98,50 @@ def test_near_duplicates(spark):
 
 
 def check(df, **options):
-    rows = [(r[0], r[1]) for r in df.select("vec_id", "embedding").collect()]
+    rows = [(r[0], r[1]) for r in df.select("vec_id", "embedding").distinct().collect()]
     k = options.get("k", 20)
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     ids, x = np.array([i for i, _ in good]), np.array([v for _, v in good])
     got = {}
     for r in sorted(nearest(df, **options).collect(), key=lambda r: (r.query_id, r["rank"])):
-        got.setdefault(r.query_id, []).append(r.vec_id)
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     asked = [(i, v) for i, v in good if i % 20 == 0]
     assert set(got) <= {i for i, _ in asked}
     hits = total = 0
     for i, v in asked:
-        s = (x * v).sum(axis=1)
-        want = [int(j) for j in ids[np.lexsort((ids, -s))] if j != i][:k]
+        with np.errstate(over="ignore"):
+            s = (x * v).sum(axis=1)
+        want = [(int(ids[j]), s[j]) for j in np.lexsort((ids, -s)) if ids[j] != i][:k]
+        mine = got.get(i, [])
         if options.get("factor") == 1.0:
-            assert got.get(i, []) == want
-        hits, total = hits + len(set(want) & set(got.get(i, []))), total + len(want)
+            assert [m[0] for m in mine] == [w[0] for w in want]
+            assert [m[1] for m in mine] == pytest.approx([w[1] for w in want], rel=1e-12)
+        hits, total = hits + len({w[0] for w in want} & {m[0] for m in mine}), total + len(want)
     return hits / max(1, total)
 
 
+@pytest.mark.parametrize("factor", [1.0, 0.9])
+def test_vectors_of_extreme_length(spark, factor):
+    """One outlier, or lengths over many powers of ten, cost no result and no order."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 3))
+    x[0], x[20], x[33], x[40], x[41] = [1e160, 1, 1], [1e30, 1e-30, 1], [-1e200, 1e200, 0], [1e-300, 1e-308, 0], [1e200, 1e199, -3]
+    x[100:200] *= 10.0 ** rng.integers(-20, 20, (100, 1))
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert check(df, shard=60, block=10, factor=factor) >= (1.0 if factor == 1 else 0.9)
+
+
+def test_shards_of_equal_distances_and_clashing_names(spark):
+    """Rings can't part vectors that are equally far from all centres; other columns, and repeated rows, don't matter."""
+    import itertools
+
+    signs = list(itertools.product([-1.0, 1.0], repeat=9))
+    df = spark.createDataFrame([(i, list(v), i, 0.5, [1.0]) for i, v in enumerate(signs * 2)], "vec_id long, embedding array<double>, query_id long, score double, v array<double>")
+    assert check(df.unionByName(df.limit(50)), shard=20, block=7, factor=1.0) == 1.0
+    named = df.select(F.col("vec_id").alias("a b"), F.col("embedding").alias("c`d"))
+    assert nearest(named, id_col="a b", vector_col="c`d").count() == nearest(df).count()
+
+
 def test_exact_search_with_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(a) for a in v]) for i, v in enumerate(rng.integers(-1, 2, (400, 4)))]
