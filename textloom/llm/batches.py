@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -61,6 +62,17 @@ def fold(doc_id: str, modulus: int) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL and ``F.col`` take it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def id_and_text(df: DataFrame, id_col: str, text_col: str, **more: str) -> DataFrame:
+    """``doc_id, text`` and ``more`` string columns of a table, by whatever names it has them; nothing else of it is read."""
+    named = {"text": text_col, **more}
+    return df.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), *(F.col(quoted(c)).cast("string").alias(n) for n, c in named.items()))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, or a variation of it that ``df`` doesn't have in any letter case."""
     taken = {c.lower() for c in df.columns}
@@ -70,31 +82,43 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only where none is configured."""
+    """The folder that driver and executors share; a private one only where none is configured and there is but one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
         where = context.getCheckpointDir()
     return where.rstrip("/")
 
 
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` written once to the shared folder and read back, with its path; lineage ends there."""
+    """``df`` written once to the shared folder and read back, with its path; lineage ends there.
+
+    Tables that a result still reads go when the application ends, all others by ``drop_stored`` as soon as they are used.
+    """
     path = f"{shared_folder(df.sparkSession)}/textloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, where = _place(df.sparkSession, path)
+    files.deleteOnExit(where)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def drop_stored(spark: SparkSession, path: str) -> None:
-    """Delete a table that ``stored`` wrote."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def drop_stored(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that ``stored`` wrote."""
+    for path in paths:
+        files, where = _place(spark, path)
+        files.delete(where, True)
 
 
-def hash_sample(df: DataFrame, rows: int, *columns: str) -> DataFrame:
-    """Some ``rows`` of ``df``: those whose ``columns`` have the smallest hashes. Only hashes are sorted for it."""
-    held = df.withColumn(name := unused(df, "sample_hash"), F.xxhash64(*columns))
-    last = held.select(name).orderBy(name).limit(rows).agg(F.max(name)).first()[0]
-    return held.where(F.col(name) <= F.lit(last)).limit(rows).drop(name) if last is not None else df.limit(0)
+def smallest_hashes(df: DataFrame, rows: int, column: str) -> list[tuple]:
+    """The ``rows`` distinct values of ``column`` with the smallest hashes, ties by value: alike in every run. Nulls have none."""
+    values = df.select(F.col(column).alias("value")).where("value is not null").distinct()
+    return [(r.value,) for r in values.orderBy(F.xxhash64("value"), "value").limit(rows).collect()]

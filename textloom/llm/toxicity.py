@@ -1,14 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney word models.
 
 A toxic and an ordinary bigram model are counted over all labelled training texts. Each backs off to its class's
-unigrams, and these to one distribution shared by both classes: in how many different contexts a word was seen. The
-discount is several occurrences, so rare expressions are left wholly to the backoff and count alike for both classes. A
-text counts each of its different bigrams once, so that one that repeats itself can't rule a model or a score. The
-difference of the two log-likelihoods, and that of the expressions clearly in favour of toxic, both normalised by length,
-are calibrated to a probability on a bounded sample, in which a text's own counts are taken out of the models first.
+continuation unigrams (in how many different contexts the class saw a word), and these to one distribution shared by both
+classes: in how many different contexts a word was seen in either. Discounts are estimated from the numbers of ones and
+twos. What a class has in up to ``RARE`` places is left wholly to the backoff, so rare expressions count alike for both
+classes: with labels that are partly noise they are no evidence. A text counts each of its different bigrams once, so that
+one that repeats itself can't rule a model or a score. The difference of the two log-likelihoods, and that of the
+expressions clearly in favour of toxic, both normalised by length, are calibrated to a probability on a bounded sample, in
+which a text's own counts are taken out of the models first.
 
 Words are 64-bit hashes and bigrams pairs of them, counted in a written table that grows with the corpus. From it scoring
-reads the bigrams seen more often than the discount, the left neighbours of such and the words seen so often: for all
+reads the bigrams seen more than ``RARE`` times, their left neighbours and words and the words of so many contexts: for all
 others both classes' probabilities differ by the same factor, so that leaving them out changes no score. These tables are
 as large as the corpus makes them, and a lookup compares the whole key; bigrams beyond ``PAIRS_AT_ONCE`` are scored in
 further rounds over the texts, whose sums add up.
@@ -23,20 +25,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.batches import drop_stored, fold, hash_sample, map_rows, slices, stored, strings
+from textloom.llm.batches import drop_stored, fold, map_rows, slices, smallest_hashes, stored, strings
 
-DISCOUNT = 3
+#: Bigrams that a class has in up to this many texts, and words after up to this many, are left wholly to the backoff.
+RARE = 3
 #: Log-likelihood ratio of a place from which it is clearly in favour of toxic.
 CLEAR = 1.5
 #: Labelled texts of each label used for calibration: those of the smallest id hashes.
 CALIBRATION = 1500
+#: Characters of a calibration text at most; longer ones are counted and scored whole, but don't calibrate.
+CALIBRATION_CHARS = 50_000
 #: Label rows up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
 #: Bigrams that workers hold at a time.
-PAIRS_AT_ONCE = 10_000_000
+PAIRS_AT_ONCE = 8_000_000
+#: Words whose hashes a worker remembers, and bigrams that it gathers before it adds up equal ones.
+REMEMBERED, GATHERED = 150_000, 500_000
 _WORDS = re.compile(r"[^\W_]+").findall
 
 
@@ -44,7 +52,7 @@ class _Numbers(dict):
     """Word to 64-bit hash, cached; 0 stands before the first word."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 800_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         self[word] = number = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) or 1
         return number
@@ -107,33 +115,45 @@ class Table:
 
 @dataclass
 class Models:
-    """Both classes' counts (column 0 ordinary, 1 toxic) and the calibration."""
+    """Both classes' counts (column 0 ordinary, 1 toxic), discounts and the calibration."""
 
-    words: Table  # occurrences of each word
-    contexts: Table  # of each left neighbour
+    words: Table  # different left neighbours of each word
+    contexts: Table  # occurrences of each left neighbour
     held_back: Table  # share of each left neighbour's mass left to the backoff
     shared: Table  # shared backoff probability of each word
-    totals: np.ndarray  # all occurrences
+    totals: np.ndarray  # all continuation counts
     rest: np.ndarray  # share of them left to the shared backoff
+    discounts: np.ndarray  # of continuation counts (row 0) and of bigrams (row 1)
     beta: np.ndarray
 
     def lower(self, word: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.maximum(n - DISCOUNT, 0) / np.maximum(self.totals, 1) + self.rest * self.shared[word][:, None]
+        return discounted(n, self.discounts[0]) / np.maximum(self.totals, 1) + self.rest * self.shared[word][:, None]
 
     def ratios(self, left: np.ndarray, word: np.ndarray, pair: np.ndarray, own: int | None = None) -> np.ndarray:
         """Toxic less ordinary log-likelihood of bigrams seen ``pair`` times; with ``own``, those of one text, whose counts are taken out of that class."""
         n, context, pair = self.words[word], self.contexts[left], pair.astype(float)
         if own is not None:
+            alone = pair[:, own] <= 1  # left neighbours that the class has from this text only
             pair[:, own] = np.maximum(pair[:, own] - 1, 0)
-            for seen, table in ((word, n), (left, context)):
-                _, place, count = np.unique(seen, return_inverse=True, return_counts=True)
-                table[:, own] = np.maximum(table[:, own] - count[place], 0)
+            for seen, table, weight in ((word, n, alone), (left, context, np.ones(len(left)))):
+                _, place = np.unique(seen, return_inverse=True)
+                table[:, own] = np.maximum(table[:, own] - np.bincount(place, weight)[place], 0)
         lower = self.lower(word, n)
-        p = np.where(context > 0, np.maximum(pair - DISCOUNT, 0) / np.maximum(context, 1) + self.held_back[left] * lower, lower)
+        p = np.where(context > 0, discounted(pair, self.discounts[1]) / np.maximum(context, 1) + self.held_back[left] * lower, lower)
         logs = np.log(np.maximum(p, 1e-300))
         return logs[:, 1] - logs[:, 0]
 
 
+def discounted(counts: np.ndarray, discount: np.ndarray) -> np.ndarray:
+    """Counts less the discount; rare ones are nothing."""
+    return np.where(counts > RARE, counts - discount, 0.0)
+
+
+def discount_of(ones: float, twos: float) -> float:
+    """Kneser and Ney's discount from the numbers of ones and twos."""
+    return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+
+
 @dataclass
 class Scorer:
     """What workers read: the parts of a bigram's ratio by its word and left neighbour, and whole ratios of frequent ones."""
@@ -183,7 +203,7 @@ def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     order = np.argsort(near)
     left, word = left[order], word[order]
     starts = np.flatnonzero(np.r_[True, (left[1:] != left[:-1]) | (word[1:] != word[:-1])][: len(left)])
-    return left[starts], word[starts], *(np.add.reduceat(c[order], starts) if len(starts) else c for c in counts)
+    return left[starts], word[starts], *(np.add.reduceat(c[order], starts, dtype=c.dtype) if len(starts) else c for c in counts)
 
 
 def count_pairs(rows: DataFrame) -> DataFrame:
@@ -201,48 +221,60 @@ def count_pairs(rows: DataFrame) -> DataFrame:
         for batch in slices(batches, 0):
             for text, label in zip(strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 left, word, _ = bigrams(word_numbers(text))
-                parts.append((left, word, np.full(len(left), 1 - label), np.full(len(left), label)))
+                parts.append((left, word, np.full(len(left), 1 - label, np.int32), np.full(len(left), label, np.int32)))
                 waiting += len(left)
-            if waiting > 2_000_000:
-                parts[:] = [_summed(parts)]
-                waiting = 0
-                if len(parts[0][0]) > 2_000_000:
-                    yield from pieces(parts.pop())
+                if waiting > GATHERED:
+                    parts[:] = [_summed(parts)]
+                    waiting = 0
+                    if len(parts[0][0]) > 2 * GATHERED:
+                        yield from pieces(parts.pop())
         if parts:
             yield from pieces(_summed(parts))
 
-    counted = rows.select("text", "label").mapInArrow(run, "left long, word long, ordinary long, toxic long")
+    counted = rows.select("text", "label").mapInArrow(run, "left long, word long, ordinary int, toxic int")
     return counted.groupBy("left", "word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
 def often(pairs: DataFrame) -> DataFrame:
-    return pairs.where((F.col("ordinary") > DISCOUNT) | (F.col("toxic") > DISCOUNT))
+    return pairs.where((F.col("ordinary") > RARE) | (F.col("toxic") > RARE))
 
 
 def train(pairs: DataFrame, least: int = 0) -> Models:
-    """Models from ``count_pairs``, of words and of left neighbours of bigrams that a class has more than ``least`` times."""
-    top = F.greatest("ordinary", "toxic")
-    both = [F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")]
+    """Models from ``count_pairs``, of words with more than ``least`` contexts in a class, and of both words of bigrams seen so often."""
+    both = ("ordinary", "toxic")
+    top = F.greatest(*both)
+    sums = [F.sum(c).alias(c) for c in both]
+    made = []  # what a discount and the mass it leaves come from: ones, twos, the sum of rare counts and the number of others
+    for c in both:
+        n = F.col(c)
+        made += [F.sum((n == 1).cast("long")).alias(f"ones_{c}"), F.sum((n == 2).cast("long")).alias(f"twos_{c}")]
+        made += [F.sum(F.when(n <= RARE, n).otherwise(0)).alias(f"low_{c}"), F.sum((n > RARE).cast("long")).alias(f"high_{c}")]
 
     def columns(held: pa.Table, *names: str) -> np.ndarray:
         return np.column_stack([held[n].to_numpy() for n in names]).astype(float)
 
-    # The shared backoff: distinct left neighbours of each word, whichever class they were seen in.
-    words = pairs.groupBy("word").agg(*both, F.count("*").alias("spread"))
-    few = [F.sum(F.least(c, F.lit(DISCOUNT))).alias(f"few_{c}") for c in ("ordinary", "toxic")]
-    whole = words.agg(*both, *few, F.sum("spread").alias("spread"), F.count("*").alias("n")).toArrow()
-    whole = {c: float(whole[c][0].as_py() or 0) for c in whole.column_names}
-    totals = np.array([whole["ordinary"], whole["toxic"]])
-    rest = np.where(totals > 0, np.array([whole["few_ordinary"], whole["few_toxic"]]) / np.maximum(totals, 1), 1.0)
+    def pair_of(held: dict, name: str) -> np.ndarray:
+        return np.array([held[f"{name}_{c}"] for c in both], float)
+
+    # Continuation counts: different left neighbours of each word, in each class and (the shared backoff) in either. All
+    # words that aren't wanted are one row with the sums of theirs.
+    words = pairs.groupBy("word").agg(*[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in both], F.count("*").alias("spread"), F.max(top).alias("most"))
+    held = words.groupBy(F.when(F.greatest("most", top) > least, F.col("word")).alias("word")).agg(*sums, *made, F.sum("spread").alias("spread"), F.count("*").alias("n")).toArrow()
+    whole = {c: float(pa.compute.sum(held[c]).as_py() or 0) for c in held.column_names if c != "word"}
+    first = np.array([discount_of(whole[f"ones_{c}"], whole[f"twos_{c}"]) for c in both])
+    totals = np.array([whole[c] for c in both])
+    rest = np.where(totals > 0, (pair_of(whole, "low") + first * pair_of(whole, "high")) / np.maximum(totals, 1), 1.0)
     mass = whole["spread"] + 0.5 * (whole["n"] + 1)
-    held = words.where(top > least).toArrow()
+    held = held.filter(pa.compute.is_valid(held["word"]))
     at = held["word"].to_numpy()
-    tables = [Table(at, columns(held, "ordinary", "toxic"), 0.0), Table(at, (columns(held, "spread")[:, 0] + 0.5) / mass, 0.5 / mass)]
-    few = [F.sum(F.least(c, F.lit(DISCOUNT))).alias(f"few_{c}") for c in ("ordinary", "toxic")]
-    held = pairs.groupBy("left").agg(*both, *few, F.max(top).alias("top")).where(F.col("top") > least).toArrow()
-    at, contexts = held["left"].to_numpy(), columns(held, "ordinary", "toxic")
-    back = np.where(contexts > 0, columns(held, "few_ordinary", "few_toxic") / np.maximum(contexts, 1), 1.0)
-    return Models(tables[0], Table(at, contexts, 0.0), Table(at, back, 1.0), tables[1], totals, rest, np.zeros(4))
+    tables = [Table(at, columns(held, *both), 0.0), Table(at, (columns(held, "spread")[:, 0] + 0.5) / mass, 0.5 / mass)]
+    seen = pairs.agg(*made).first().asDict()
+    second = np.array([discount_of(seen[f"ones_{c}"] or 0, seen[f"twos_{c}"] or 0) for c in both])
+    held = pairs.groupBy("left").agg(*sums, *made, F.max(top).alias("top")).where(F.col("top") > least).select("left", *both, *(f"{x}_{c}" for x in ("low", "high") for c in both)).toArrow()
+    at, contexts = held["left"].to_numpy(), columns(held, *both)
+    back = columns(held, "low_ordinary", "low_toxic") + second * columns(held, "high_ordinary", "high_toxic")
+    back = np.where(contexts > 0, back / np.maximum(contexts, 1), 1.0)
+    return Models(tables[0], Table(at, contexts, 0.0), Table(at, back, 1.0), tables[1], totals, rest, np.array([first, second]), np.zeros(4))
 
 
 def rated(pairs: DataFrame, models: Models) -> DataFrame:
@@ -250,7 +282,7 @@ def rated(pairs: DataFrame, models: Models) -> DataFrame:
     held = pairs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in batches:
             left, word, a, b = (c.to_numpy() for c in batch.columns)
             ratio = held.value.ratios(left, word, np.column_stack([a, b])).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array(pair_keys(left, word)), pa.array(ratio)], names=["key", "ratio"])
@@ -273,10 +305,10 @@ def counts_of(pairs: DataFrame, keys: np.ndarray) -> Table:
     return Table(held["key"].to_numpy(), np.column_stack([held["ordinary"].to_numpy(), held["toxic"].to_numpy()]).astype(float), 0.0)
 
 
-def calibrate(models: Models, frequent: DataFrame, sample: list[tuple[str, int]], sizes: dict[int, int]) -> None:
+def calibrate(models: Models, pairs: DataFrame, sample: list[tuple[str, int]], sizes: dict[int, int]) -> None:
     """Logistic fit (Newton, with a little shrinkage) of labels on the ratio's measures; labels weigh as they occur."""
     held = [bigrams(word_numbers(t)) for t, _ in sample]
-    counts = counts_of(frequent, np.unique(np.concatenate([keys for _, _, keys in held])))
+    counts = counts_of(pairs, np.unique(np.concatenate([keys for _, _, keys in held])))
     y = np.array([label for _, label in sample], float)
     x = np.array([measures(models.ratios(left, word, counts[keys], int(label))) for (left, word, keys), label in zip(held, y, strict=True)])
     w = np.where(y == 1, sizes.get(1, 0) / max(1, (y == 1).sum()), sizes.get(0, 0) / max(1, (y == 0).sum()))
@@ -300,14 +332,17 @@ def fit(rows: DataFrame, labels: DataFrame) -> tuple[Models, DataFrame, str]:
     sizes = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     held = F.broadcast(known) if sum(sizes.values()) <= BROADCAST_LABELS else known
     pairs, path = stored(count_pairs(rows.join(held, "doc_id").select("text", "label")))
-    models = train(pairs, DISCOUNT)
+    models = train(pairs, RARE)
     sample: list[tuple[str, int]] = []
+    short = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= CALIBRATION_CHARS)
     for label in sizes:
-        wanted = hash_sample(known.where(F.col("label") == label), CALIBRATION, "doc_id")
-        wanted = rows.sparkSession.createDataFrame(wanted.toPandas(), "doc_id long, label int")  # bounded by the sample
-        sample += [(r.text or "", r.label) for r in rows.join(F.broadcast(wanted), "doc_id").select("text", "label").limit(2 * CALIBRATION).toLocalIterator()]
+        wanted = smallest_hashes(known.where(F.col("label") == label), CALIBRATION, "doc_id")
+        wanted = rows.sparkSession.createDataFrame(wanted, "doc_id long")  # bounded by the sample
+        # An id that repeats calibrates with its first text in order.
+        found = short.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+        sample += [(r.text or "", label) for r in found.toLocalIterator()]
     if len({label for _, label in sample}) == 2:
-        calibrate(models, often(pairs), sample, sizes)
+        calibrate(models, pairs, sample, sizes)
     else:
         models.beta = np.array([0.0, 0.0, 0.0, 3.0 if sample and sample[0][1] else -3.0])
     return models, pairs, path
