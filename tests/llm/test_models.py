@@ -1,6 +1,7 @@
 """Classifiers by held-out accuracy, decontamination by brute force, URL rules, and the pipeline."""
 
 import random
+import re
 import zlib
 from pathlib import Path
 
@@ -41,19 +42,71 @@ def test_quality(tables, odd):
     assert kept.columns == odd.columns
 
 
-def test_forward_backward_equals_enumeration():
+def test_forward_backward_equals_enumeration(monkeypatch):
     """Marginals of short chains against the sum over all labellings."""
     rng = np.random.default_rng(0)
-    chains = [rng.normal(size=(n, 3)) for n in (4, 1, 3)]
+    chains = [rng.normal(size=(n, 3)) for n in (4, 1, 3, 4, 2)]
     field = quality.Field(rng.normal(size=3), rng.normal(size=(2, 2)))
-    for chain, got in zip(chains, field.marginals(chains), strict=True):
-        n, u = len(chain), chain @ field.weights
-        weights = {}
-        for code in range(2**n):
-            y = [code >> k & 1 for k in range(n)]
-            weights[tuple(y)] = np.exp(sum(u[k] * y[k] for k in range(n)) + sum(field.moves[a, b] for a, b in zip(y, y[1:], strict=False)))
-        total = sum(weights.values())
-        assert got == pytest.approx([sum(w for y, w in weights.items() if y[k]) / total for k in range(n)])
+    for cells in (200_000, 5):
+        monkeypatch.setattr(quality, "CELLS", cells)
+        for chain, got in zip(chains, field.marginals([c @ field.weights for c in chains]), strict=True):
+            n, u = len(chain), chain @ field.weights
+            weights = {}
+            for code in range(2**n):
+                y = [code >> k & 1 for k in range(n)]
+                weights[tuple(y)] = np.exp(sum(u[k] * y[k] for k in range(n)) + sum(field.moves[a, b] for a, b in zip(y, y[1:], strict=False)))
+            total = sum(weights.values())
+            assert got == pytest.approx([sum(w for y, w in weights.items() if y[k]) / total for k in range(n)])
+
+
+def slow_quality(field, text):
+    """Length-weighted P(good) by a plain forward-backward over the whole text."""
+    lines = quality.Lines(text)
+    u = lines.features(0, len(lines.lines)) @ field.weights
+    unary, move = np.column_stack([np.ones(len(u)), np.exp(u)]), np.exp(field.moves)
+    ahead = [unary[0] / unary[0].sum()]
+    for row in unary[1:]:
+        ahead.append((ahead[-1] @ move) * row)
+        ahead[-1] /= ahead[-1].sum()
+    behind = [np.ones(2)]
+    for row in unary[:0:-1]:
+        behind.append(move @ (row * behind[-1]))
+        behind[-1] /= behind[-1].sum()
+    both = np.array(ahead) * np.array(behind[::-1])
+    raw = np.clip(np.average(both[:, 1] / both.sum(axis=1), weights=lines.sizes if lines.sizes.any() else None), 1e-4, 1 - 1e-4)
+    return 1 / (1 + np.exp(-(field.slope * np.log(raw / (1 - raw)) + field.shift)))
+
+
+def test_quality_scores_equal_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(k, "\n".join("### $$$ @@@ %%" if rng.random() < (0.7 if k % 2 else 0.1) else "some words of a line, and more." for _ in range(rng.randint(1, 9))), k % 2) for k in range(60)]
+    docs = spark.createDataFrame([(k, t, "s", 0.1) for k, t, _ in rows], "doc_id long, text string, source string, score double")
+    labels = spark.createDataFrame([(k, 1 - bad) for k, _, bad in rows], "doc_id long, quality int")
+    field = quality.fit(docs.where(fold("doc_id", 4) != 2), labels.where(fold("doc_id", 4) != 2).withColumnRenamed("quality", "label"))
+    text = {k: t for k, t, _ in rows}
+    for r in quality.quality(docs, labels).collect():
+        assert r.score == pytest.approx(slow_quality(field, text[r.doc_id]), abs=1e-6)
+    kept = {r.doc_id for r in quality.keep_good(docs, labels).collect()}
+    assert kept == {k for k, t in text.items() if slow_quality(field, t) >= 0.7}
+
+
+def test_many_lines_need_little_memory(monkeypatch):
+    """A text of 200,000 lines beside short ones: pieces give what the whole gives, and padding stays bounded."""
+    import tracemalloc
+
+    long = "ab\ncd\n" * 100_000
+    rng = np.random.default_rng(1)
+    field = quality.Field(rng.normal(size=quality.Lines("").features(0, 1).shape[1]), rng.normal(size=(2, 2)))
+    tracemalloc.start()
+    got = field.raw([long] + ["x y"] * 255)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    text = "a b c\n\nA B\na b c\n###"
+    whole = quality.Lines(text).features(0, 5)
+    monkeypatch.setattr(quality, "LINES", 2)
+    assert quality.Lines(text).pulls(field.weights) == pytest.approx(whole @ field.weights)
+    assert np.isfinite(got).all() and len(got) == 256
 
 
 @needs_tables
@@ -68,6 +121,62 @@ def test_toxicity(spark, tables, odd):
     assert len({r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()}) == 1
 
 
+def slow_toxic_ratios(rows, text):
+    """Toxic less ordinary log-likelihood of each different bigram of a text, from plain counts."""
+    from collections import Counter
+
+    def pairs(t):
+        w = [None, *re.findall(r"[^\W_]+", (t or "").lower())]
+        return set(zip(w, w[1:], strict=False))
+
+    seen = {c: Counter(p for t, label in rows if label == c for p in pairs(t)) for c in (0, 1)}
+    either = set(seen[0]) | set(seen[1])
+    spread = Counter(w for _, w in either)
+
+    def discount(counts):
+        one, two = (sum(n == k for n in counts.values()) for k in (1, 2))
+        return min(0.95, max(0.1, one / (one + 2 * two))) if one else 0.5
+
+    def part(counts, key, d):
+        n = counts.get(key, 0)
+        return n - d if n > toxicity.RARE else 0.0
+
+    def chance(c, left, word):
+        after = Counter(w for _, w in seen[c])
+        d1, d2, total = discount(after), discount(seen[c]), sum(after.values())
+        rest = sum(n if n <= toxicity.RARE else d1 for n in after.values()) / total
+        lower = part(after, word, d1) / total + rest * (spread[word] + 0.5) / (len(either) + 0.5 * (len(spread) + 1))
+        own = {w: n for (h, w), n in seen[c].items() if h == left}
+        if not own:
+            return lower
+        held = sum(n if n <= toxicity.RARE else d2 for n in own.values()) / sum(own.values())
+        return part(own, word, d2) / sum(own.values()) + held * lower
+
+    return sorted(np.log(chance(1, *p)) - np.log(chance(0, *p)) for p in pairs(text))
+
+
+def test_toxic_scores_equal_brute_force(spark):
+    """Ratios and whole scores of the query against counts made in plain Python; the tables, too, are distributions."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choices(["a", "b", "c", "d"] + ["x", "y"] * (k % 3 == 0), k=rng.randint(0, 14))), int(k % 3 == 0)) for k in range(60)]
+    model = toxicity.train(toxicity.count_pairs(spark.createDataFrame([r[1:] for r in rows], "text string, label int")))
+    texts = ["a b x y q", "x x a", "d c b a b", "q r"]
+    for text in texts:
+        left, word, keys = toxicity.bigrams(toxicity.word_numbers(text))
+        counts = toxicity.count_pairs(spark.createDataFrame([r[1:] for r in rows], "text string, label int"))
+        got = model.ratios(left, word, toxicity.counts_of(counts, keys)[keys])
+        assert sorted(got) == pytest.approx(slow_toxic_ratios([r[1:] for r in rows], text))
+    docs = spark.createDataFrame([(r[0], r[1]) for r in rows] + [(100 + k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    known = docs.select("doc_id", F.col("text")).where("doc_id < 60").select("doc_id")
+    labels = known.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    learned = [r[1:] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    beta = toxicity.fit(docs.where(fold("doc_id", 3) != 1), labels.where(fold("doc_id", 3) != 1).withColumnRenamed("toxic", "label"))[0].beta
+    for r in toxicity.toxicity(docs, labels).collect():
+        text = dict([(x[0], x[1]) for x in rows] + [(100 + k, t) for k, t in enumerate(texts)])[r.doc_id]
+        x = toxicity.measures(np.array(slow_toxic_ratios(learned, text)))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-x @ beta)), abs=1e-5)
+
+
 def test_toxic_counts_follow_the_texts(spark):
     """The tables equal counts made in plain Python."""
     rows = [("a b a b c", 0), ("b c", 1), ("", 0), (None, 1), ("A b!", 1)]
@@ -89,10 +198,10 @@ def test_toxic_words_and_bigrams_stay_apart(spark):
     for a, b in twins[:20]:
         assert toxicity.word_numbers(a)[0] != toxicity.word_numbers(b)[0]
     (a, b), *_ = twins
-    rows = [(a, 0)] * 5 + [(b, 1)] * 7
+    rows = [(f"{x} {a}", 0) for x in "klmno"] + [(f"{x} {b}", 1) for x in "klmnopq"] + [(a, 0)] * 5 + [(b, 1)] * 7
     pairs = toxicity.count_pairs(spark.createDataFrame(rows, "text string, label int"))
     model = toxicity.train(pairs)
-    assert model.words[toxicity.word_numbers(a)[0]].tolist() == [5, 0] and model.words[toxicity.word_numbers(b)[0]].tolist() == [0, 7]
+    assert model.words[toxicity.word_numbers(a)[0]].tolist() == [6, 0] and model.words[toxicity.word_numbers(b)[0]].tolist() == [0, 8]
     assert sorted((r.ordinary, r.toxic) for r in toxicity.often(pairs).collect()) == [(0, 7), (5, 0)]
     many = spark.createDataFrame([(" ".join(f"v{k}" for k in range(60000)), 0)], "text string, label int")
     assert len(toxicity.train(toxicity.count_pairs(many)).words.keys) == toxicity.count_pairs(many).count() == 60000
@@ -121,19 +230,86 @@ def test_language(tables, odd):
     assert {r.lang_pred for r in language_id.identify(docs.withColumn("lang", F.lit(None).cast("string")).limit(5)).collect()} == {"und"}
 
 
+def slow_entropies(texts, text):
+    """Cross-entropy of a text in each language, from plain counts of character trigrams."""
+    from collections import Counter
+
+    def grams(t):
+        s = [" ", " "]
+        for c in t + " ":
+            c = c.lower()[0] if c.isalpha() else " "
+            if c != " " or s[-1] != " ":
+                s.append(c)
+        return list(zip(s, s[1:], s[2:], strict=False)) if len(s) > 3 else []
+
+    counted = {lang: Counter(g for t in held for g in grams(t)) for lang, held in texts.items()}
+    alphabet = len({g[2] for c in counted.values() for g in c}) + 1
+
+    def discount(counts):
+        one, two = (sum(n == k for n in counts.values()) for k in (1, 2))
+        return min(0.95, max(0.1, one / (one + 2 * two))) if one else 0.5
+
+    out = {}
+    for lang, c3 in counted.items():
+        c2 = Counter(g[1:] for g in c3)
+        c1 = Counter(g[1] for g in c2)
+        d1, d2, d3 = discount(c1), discount(c2), discount(c3)
+
+        def p1(w, c1=c1, d1=d1):
+            total = sum(c1.values())
+            return max(c1[w] - d1, 0) / total + d1 * len(c1) / total / alphabet
+
+        def p2(v, w, c2=c2, d2=d2, p1=p1):
+            own = {g[1]: n for g, n in c2.items() if g[0] == v}
+            total = sum(own.values())
+            return max(own.get(w, 0) - d2, 0) / total + d2 * len(own) / total * p1(w) if own else p1(w)
+
+        def p3(u, v, w, c3=c3, d3=d3, p2=p2):
+            own = {g[2]: n for g, n in c3.items() if g[:2] == (u, v)}
+            total = sum(own.values())
+            return max(own.get(w, 0) - d3, 0) / total + d3 * len(own) / total * p2(v, w) if own else p2(v, w)
+
+        found = grams(text)
+        out[lang] = -sum(np.log(p3(*g)) for g in found) / len(found)
+    return out
+
+
+LINES = {"el": ["το βουνό είναι ψηλό", "η θάλασσα είναι βαθιά"], "en": ["the hill is high", "The sea is deep and 3 wide"], "ru": ["гора очень высокая", "море глубокое и синее"], "zh": ["山 很高 海 很深 𠀀𠀁", "山高海深"]}
+
+
+@pytest.mark.parametrize("at_once", [6_000_000, 1])
+def test_languages_equal_brute_force(spark, monkeypatch, at_once):
+    """Languages, scores and entropies of the query, in one round or one for each language, against plain counts."""
+    monkeypatch.setattr(language_id, "KEYS_AT_ONCE", at_once)
+    rows = [(k, t, lang) for k, (lang, t) in enumerate((lang, t) for lang, held in LINES.items() for t in held)]
+    learned = {lang: [t for k, t, x in rows if x == lang and zlib.crc32(str(k).encode()) % 4 != 2] for lang in LINES}
+    docs = spark.createDataFrame([*rows, (100, "the sea", None), (101, "海", None), (102, "θάλασσα", None), (103, "???", None), (104, "море", None)], "doc_id long, text string, lang string")
+    trained = language_id.Trained(docs.where(F.coalesce(fold("doc_id", 4) != 2, F.lit(True))))
+    assert len(trained.groups) == (1 if at_once > 1 else len([x for x in learned.values() if x]))
+    t = trained.calibration.temperature
+    for r in language_id.identify(docs).collect():
+        text = next(d.text for d in docs.collect() if d.doc_id == r.doc_id)
+        if text == "???":
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        h = slow_entropies({k: v for k, v in learned.items() if v}, text)
+        size = language_id.trigrams(text)[1].sum()
+        assert r.lang_pred == min(h, key=h.get), text
+        odds = sum(np.exp(-(x - min(h.values())) * t * np.sqrt(size)) for x in h.values())
+        assert r.score == pytest.approx(1 / odds, rel=1e-4)
+
+
 def test_character_models_are_distributions():
-    """Each context's probabilities add up to one, seen or not."""
-    texts = {"x": ["abc abd", "aab"], "y": ["zzz b"]}
-    counts = {}
-    for lang, held in texts.items():
-        keys = np.concatenate([np.repeat(*language_id.trigrams(t)) for t in held])
-        counts[lang] = np.unique(keys, return_counts=True)
-    models = language_id.train(counts)
-    for context in ((1, 2), (0, 1), (9, 9)):
-        keys = np.array([context[0] << 14 | context[1] << 7 | s for s in range(128)])
-        for j in range(2):
-            total = sum(np.exp(-models.entropies(keys[k : k + 1], np.array([1]))[j]) for k in range(128))
-            assert total == pytest.approx(1.0)
+    """Each context's probabilities add up to one over all symbols known and one for the rest, seen or not."""
+    texts = {"x": ["abc abd", "aab"], "y": ["zzz b", "日本 語"]}
+    counts = {lang: language_id._summed(np.concatenate([np.repeat(*language_id.trigrams(t)) for t in held])) for lang, held in texts.items()}
+    letters = sorted({int(k) & language_id.SYMBOL for keys, _ in counts.values() for k in keys}) + [0x0416]
+    models = [language_id.Model.of(*c, len(letters)) for c in counts.values()]
+    for a, b in (("a", "b"), (None, "a"), ("q", "q"), ("日", "本")):
+        context = [ord(c) if c else 0 for c in (a, b)]
+        keys = np.array([context[0] << 42 | context[1] << 21 | s for s in letters])
+        for m in models:
+            assert np.exp(m.logs(keys)).sum() == pytest.approx(1.0, abs=1e-5)
 
 
 @needs_tables
@@ -223,6 +399,48 @@ def test_boosting_learns():
     score = start + 0.3 * sum(t.predict(x) for t in trees)
     assert np.mean((score > 0) == y) > 0.95
     assert url_filter.boost(x[:0], y[:0]) == (0.0, [])
+    noise = rng.integers(0, 2, 600).astype(float)
+    assert len(url_filter.boost(x, noise, held=np.arange(600) % 3 == 0)[1]) < len(url_filter.boost(x, y, held=np.arange(600) % 3 == 0)[1])
+
+
+def test_url_trees_learn_from_the_words_of_an_address(spark):
+    """Held-out accuracy of each suffix, and compiled columns that equal the trees."""
+    rng = random.Random(9)
+    rules = (("net/", "block"), ("org/", "allow"), ("a.net/", "allow"), ("com/", "block"), ("b.com/", "allow"))
+    rows = []
+    for k in range(3000):
+        bad = rng.random() < 0.5
+        word = "".join(rng.choices("abcdefgh", k=6)) + ("".join(rng.choices("0123456789", k=7)) if bad else "")
+        top = rng.choice(["com", "net", "info"])
+        zone = "" if bad else {"net": "a.", "com": "b.", "info": "c."}[top]
+        rows.append((k, f"http://{word}.{zone}{top}/{'x/' * (4 if bad else 1)}p", bad))
+    pages = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    got = url_filter.filter_urls(pages, rules).join(pages, "page_id").where("rule is null").collect()
+    assert len(got) > 800 and np.mean([(r.verdict == "block") == r.bad for r in got]) > 0.95
+    valued, names = url_filter.valued_urls(pages, rules)
+    judge = url_filter.learn(valued, names)
+    assert judge.trees and set(judge.shares) == {"com", "net"}
+    table = valued.withColumn("s", judge.score()).toPandas()
+    x = np.column_stack([table[[f"f_{n}" for n in names]].to_numpy(float), [judge.shares.get(s, 0.5) for s in table["suffix"]]])
+    assert table["s"].to_numpy() == pytest.approx(1 / (1 + np.exp(-(judge.start + judge.rate * sum(t.predict(x) for t in judge.trees)))))
+
+
+def test_a_hot_url_is_one_row_of_the_sample(spark):
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 2 == 0, "http://a.net/").otherwise(F.concat(F.lit("http://h"), "id", F.lit(".net/x"))).alias("url"), F.lit(1.0).alias("f_length"), F.lit("s").alias("suffix"))
+    seen = []
+    boost = url_filter.boost
+    try:
+        url_filter.boost = lambda x, y, **more: seen.append(len(y)) or boost(x, y, **more)
+        assert url_filter.filter_urls(pages, sample=500).count() == 3000
+    finally:
+        url_filter.boost = boost
+    assert seen == [500]
+
+
+def test_suffix_shares_come_from_other_folds():
+    y = np.array([1.0, 1, 0, 0, 1, 1])
+    rows, shares = url_filter.suffix_shares(["net", "net", "net", "net", "com", "com"], y, np.array([0, 0, 1, 1, 0, 1]))
+    assert rows.tolist() == [5 / 12, 5 / 12, 7 / 12, 7 / 12, 0.5, 0.5] and shares == {"net": 0.5}
 
 
 def test_fold_is_crc32(spark):

@@ -12,10 +12,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.batches import quoted
+
 #: (host and path prefix, verdict); a rule also holds for subdomains, and the longest that fits wins.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Most rule-labelled URLs of each verdict that training takes: those of the smallest hash.
 SAMPLE = 10_000
+#: Most suffixes with a share of their own.
+SUFFIXES = 200
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -118,60 +122,113 @@ def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, least: int, r
     return Tree(best[1], best[2], _grow(x[side], g[side], h[side], depth - 1, least, ridge), _grow(x[~side], g[~side], h[~side], depth - 1, least, ridge))
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 20, depth: int = 3, rate: float = 0.3, least: int = 10, ridge: float = 1.0) -> tuple[float, list[Tree]]:
-    """Log-odds start and shrunken trees of a logistic gradient boosting; no labels give a neutral start."""
-    if len(y) == 0:
+def boost(x: np.ndarray, y: np.ndarray, trees: int = 20, depth: int = 3, rate: float = 0.3, least: int = 10, ridge: float = 1.0, held: np.ndarray | None = None) -> tuple[float, list[Tree]]:
+    """Log-odds start and shrunken trees of a logistic gradient boosting; no labels give a neutral start.
+
+    Rows marked ``held`` aren't learned from; trees end where these rows' loss is least, so what doesn't carry over to
+    them isn't kept.
+    """
+    learn = np.ones(len(y), bool) if held is None else ~held
+    if not learn.any():
         return 0.0, []
-    p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    p = np.clip(y[learn].mean(), 1e-3, 1 - 1e-3)
     start = float(np.log(p / (1 - p)))
     score, grown = np.full(len(y), start), []
+    losses = [np.logaddexp(0, np.where(y == 1, -score, score))[~learn].sum()]
     for _ in range(trees):
         p = 1 / (1 + np.exp(-score))
-        tree = _grow(x, p - y, p * (1 - p), depth, least, ridge)
+        tree = _grow(x[learn], (p - y)[learn], (p * (1 - p))[learn], depth, least, ridge)
         if tree.low is None:
             break
         score += rate * tree.predict(x)
         grown.append(tree)
-    return start, grown
+        losses.append(np.logaddexp(0, np.where(y == 1, -score, score))[~learn].sum())
+    return start, grown if learn.all() else grown[: int(np.argmin(losses))]
 
 
-def filter_urls(pages: DataFrame, rules=RULES, sample: int = SAMPLE, rate: float = 0.3, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """``page_id, host, path, rule, verdict, block_score`` of every row.
+def suffix_shares(suffixes: list[str], y: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, dict[str, float]]:
+    """Each row's share of blocked URLs of its suffix in the other folds, and each suffix's over all.
 
-    ``verdict`` is the rule's, else block where the trees give a chance of 0.5 or more. A null URL or one without
-    ``://`` has an empty host and path and is judged by the trees. Null ids and repeated rows are kept. With no labelled
-    URL at all the trees are neutral, which allows.
+    Shares are drawn towards one half. A suffix that rules give one verdict only would stand for the rules themselves: it
+    is hidden, as are all but the ``SUFFIXES`` most frequent ones, and has one half.
     """
+    kinds, place = np.unique(np.array(suffixes, object).astype(str), return_inverse=True)
+    seen, blocked = np.bincount(place, minlength=len(kinds)), np.bincount(place, y, len(kinds))
+    known = (blocked > 0) & (blocked < seen)
+    known &= np.isin(np.arange(len(kinds)), np.argsort(-seen, kind="stable")[:SUFFIXES])
+    rows = np.full(len(y), 0.5)
+    for k in np.unique(fold):
+        rest = fold != k
+        share = (np.bincount(place[rest], y[rest], len(kinds)) + 5) / (np.bincount(place[rest], minlength=len(kinds)) + 10)
+        rows[~rest] = np.where(known, share, 0.5)[place[~rest]]
+    return rows, {str(kinds[k]): float((blocked[k] + 5) / (seen[k] + 10)) for k in np.flatnonzero(known)}
+
+
+@dataclass
+class Judge:
+    """Start, trees, their rate, the features' names and the suffix shares that the last feature takes."""
+
+    start: float
+    trees: list[Tree]
+    rate: float
+    names: list[str]
+    shares: dict[str, float]
+
+    def score(self) -> Column:
+        """Chance of block from columns ``f_`` of the features and ``suffix``, without Python."""
+        suffix = F.lit(0.5)
+        for name, value in self.shares.items():
+            suffix = F.when(F.col("suffix") == name, F.lit(value)).otherwise(suffix)
+        columns = [*(F.col(f"f_{n}") for n in self.names), suffix]
+        total = F.lit(self.start)
+        for tree in self.trees:
+            total = total + tree.column(columns) * self.rate
+        return 1 / (1 + F.exp(-total))
+
+
+def learn(valued: DataFrame, names: list[str], sample: int = SAMPLE, rate: float = 0.3) -> Judge:
+    """Trees from a bounded sample of rule-labelled URLs: of each verdict the ``sample`` distinct URLs of the smallest hash.
+
+    A fifth of the sample, by hash, decides how many trees are kept; suffix shares are those of the other fifths.
+    """
+    found = []
+    for says in ("block", "allow"):
+        own = valued.where(F.col("ruled") == says).withColumn("h", F.xxhash64("url"))
+        last = own.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+        if last is not None:
+            found.append(own.where(F.col("h") <= last).select("ruled", "suffix", "h", *(f"f_{n}" for n in names)).dropDuplicates(["h"]).orderBy("h").toPandas())
+    if not found:
+        return Judge(0.0, [], rate, names, {})
+    y = np.concatenate([(f["ruled"] == "block").to_numpy(float) for f in found])
+    fold = np.concatenate([f["h"].to_numpy(np.int64) for f in found]) % 5
+    rows, shares = suffix_shares([s for f in found for s in f["suffix"]], y, fold)
+    x = np.column_stack([np.concatenate([f[[f"f_{n}" for n in names]].to_numpy(float) for f in found]), rows])
+    return Judge(*boost(x, y, rate=rate, held=fold == 0), rate, names, shares)
+
+
+def valued_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> tuple[DataFrame, list[str]]:
+    """``page_id, url, host, path, rule, ruled, suffix`` and the features, as columns ``f_`` and their names."""
     url = F.col("url")
-    ruled = pages.selectExpr(f"cast({id_col} as long) page_id", f"cast({url_col} as string) url").withColumns({"host": host_of(url), "path": path_of(url)})
+    ruled = pages.select(F.col(quoted(id_col)).cast("long").alias("page_id"), F.col(quoted(url_col)).cast("string").alias("url")).withColumns({"host": host_of(url), "path": path_of(url)})
     ruled = ruled.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.lit(None).cast("string")
     for rule, says in rules:
         verdict = F.when(F.col("rule") == rule, says).otherwise(verdict)
-    ruled = ruled.withColumn("ruled", verdict)
     made = features(url, F.col("host"), F.col("path"))
-    names = list(made)
-    valued = ruled.withColumns({f"f_{n}": c for n, c in made.items()}).withColumn("suffix", suffix_of(F.col("host")))
-    # A bounded sample: the rows of the smallest hash, of each verdict; repeated URLs are one.
-    labelled = [
-        valued.where(F.col("ruled") == says).select("ruled", "suffix", *(f"f_{n}" for n in names), F.xxhash64("url").alias("h")).orderBy("h").limit(sample)
-        for says in ("block", "allow")
-    ]
-    rows = labelled[0].unionByName(labelled[1]).toPandas().drop_duplicates()
-    y = (rows["ruled"] == "block").to_numpy(float)
-    # Suffix statistics: the share of blocked URLs of each suffix, drawn towards one half.
-    stats = rows.assign(y=y).groupby("suffix")["y"].agg(["sum", "count"])
-    share = {str(s): float((r["sum"] + 5) / (r["count"] + 10)) for s, r in stats.nlargest(200, "count").iterrows()}
-    x = rows[[f"f_{n}" for n in names]].to_numpy(float) if len(rows) else np.zeros((0, len(names)))
-    x = np.column_stack([x, [share.get(s, 0.5) for s in rows["suffix"]]]) if len(rows) else np.zeros((0, len(names) + 1))
-    start, trees = boost(x, y, rate=rate)
-    suffix = F.lit(0.5)
-    for name, value in share.items():
-        suffix = F.when(F.col("suffix") == name, F.lit(value)).otherwise(suffix)
-    columns = [F.col(f"f_{n}") for n in names] + [F.col("f_suffix")]
-    total = F.lit(start)
-    for tree in trees:
-        total = total + tree.column(columns) * rate
-    scored = valued.withColumn("f_suffix", suffix).withColumn("block_score", 1 / (1 + F.exp(-total)))
-    judged = F.coalesce("ruled", F.when(F.col("block_score") >= 0.5, F.lit("block") if trees else F.lit("allow")).otherwise("allow"))
-    return scored.select("page_id", "host", "path", "rule", judged.alias("verdict"), "block_score")
+    valued = ruled.withColumns({"ruled": verdict, "suffix": suffix_of(F.col("host")), **{f"f_{n}": c for n, c in made.items()}})
+    return valued, list(made)
+
+
+def filter_urls(pages: DataFrame, rules=RULES, sample: int = SAMPLE, rate: float = 0.3, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """``page_id, host, path, rule, verdict, block_score`` of every row.
+
+    ``verdict`` is the rule's, else block where the trees give a chance of 0.5 or more. A null URL or one without
+    ``://`` has an empty host and path and is judged by the trees; so are URLs of any length, whole. Null ids and repeated
+    rows are kept, equal URLs are judged alike, other columns are ignored, whatever their names. With no labelled URL at
+    all, or where nothing carries over to held-out ones, there are no trees, which allows. An empty table gives no rows.
+    """
+    valued, names = valued_urls(pages, rules, id_col, url_col)
+    judge = learn(valued, names, sample, rate)
+    scored = valued.withColumn("block_score", judge.score())
+    judged = F.when((F.col("block_score") >= 0.5) & F.lit(bool(judge.trees)), "block").otherwise("allow")
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", judged).alias("verdict"), "block_score")
