@@ -127,6 +127,40 @@ def test_random_values_after_equals_signs():
     assert secrets.random_spans("LONG_SETTING_NAME_2=some-long-value-of-words-2024 and ?page=the-second-part-of-the-story-2") == []
 
 
+def test_random_values_in_json_and_paths():
+    token = "Zk3Jd82hGq7Lm1Xp9Rt5VwYb6N"
+    for before, after in (('{"auth": "', '"}'), ("https://x.org/key/", "/"), ("blob/main/", " and"), ("('", "')")):
+        assert secrets.random_spans(before + token + after)[0][0] == len(before)
+    # Tokens of the base patterns are no part of the family.
+    base = secrets.base_spans(f"token={token} and {token[::-1]}")
+    assert secrets.random_spans(f"token={token} and {token[::-1]}", base) == [(len(token) + 11, 2 * len(token) + 11)]
+
+
+def slow_random_spans(text):
+    """The rules spelled out over all candidates of a text: weighted steps, without sorting tricks."""
+    held = []
+    for start, end, token in secrets.candidates(text):
+        if not any(start < b and a < end for a, _, b in brute_spans(text)):
+            found = secrets.infer_encoding(token)
+            p = 1.0 if found is None or token.isdigit() else secrets.wordlikeness(token, found[0])
+            r = 0.0 if found is None or token.isdigit() else secrets.randomness(token, found[1])
+            held.append((p, len(token), min(1.0, r / 1e-3) ** 3, start, end))
+    if not held:
+        return []
+    mean = sum(n for _, n, _, _, _ in held) / len(held)
+    weighted = [(p / (n / mean * w) if w else float("inf"), s, e) for p, n, w, s, e in held]
+    steps = [k for k in range(1, len(held) + 1) if sum(p <= 1e-4 * k / len(held) for p, _, _ in weighted) >= k]
+    return sorted((s, e) for p, s, e in weighted if steps and p <= 1e-4 * max(steps) / len(held))
+
+
+def test_random_spans_equal_brute_force():
+    rng = random.Random(11)
+    parts = ["SomeLongIdentifierName", "a_setting_of_words_only", "token = ", "key/", "=", " ", ". "]
+    for _ in range(300):
+        text = " ".join(rng.choice(parts) if rng.random() < 0.6 else "".join(rng.choices(string.ascii_letters + string.digits, k=rng.randint(14, 45))) for _ in range(6))
+        assert secrets.random_spans(text, secrets.base_spans(text)) == slow_random_spans(text), text
+
+
 def test_random_tokens_of_letters_only():
     rng = random.Random(7)
     tokens = ["".join(rng.choices(string.ascii_letters, k=40)) for _ in range(200)]

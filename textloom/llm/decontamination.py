@@ -9,9 +9,11 @@ items at or above the threshold are retrieved and then verified by word shingles
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.batches import slices, unused
+from textloom.llm.batches import drop_stored, id_and_text, map_rows, quoted, slices, stored
 
 _WORDS = re.compile(r"[^\W_]+").findall
 K1, B = 1.2, 0.75
 #: Items of one block of the index.
 BLOCK = 4
-#: Characters of items in one index; more items make more indexes, each broadcast and searched in turn.
+#: Characters of items indexed and broadcast at a time; more items make further passes.
 INDEX_CHARS = 4_000_000
 SHINGLE = 5
 
@@ -51,7 +53,7 @@ def question_and_answer(text: str) -> tuple[str, str]:
 
 @dataclass
 class Item:
-    item_id: int
+    item_id: int | None
     tokens: list[str]
     whole: set
     question: set
@@ -61,14 +63,14 @@ class Item:
 class ItemIndex:
     """Inverted index of some items, with statistics of all of them."""
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], total: int, mean: float) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], df: dict[str, int], total: int, mean: float) -> None:
         made = []
         for item_id, text in items:
             q, a = question_and_answer(text)
             if tokens := words(text):
                 made.append(Item(item_id, tokens, shingles(tokens), shingles(words(q)), shingles(words(a))))
         # Items of alike words share blocks, which keeps the bounds tight.
-        made.sort(key=lambda i: (Counter(i.tokens).most_common(1)[0][0], i.item_id))
+        made.sort(key=lambda i: (Counter(i.tokens).most_common(1)[0][0], i.tokens))
         self.items = made
         self.longest = max((len(i.tokens) for i in made), default=0)
         self.blocks = -(-len(made) // BLOCK)
@@ -159,12 +161,11 @@ class ItemIndex:
             live = [c for c in live if c[0] >= 0]
         return found
 
-    def search(self, text: str, threshold: float, overlap: float) -> list[tuple[int, float, float, float, float]]:
-        """Items verified in a text: (item_id, score, overlap, question overlap, answer overlap), the best of each."""
-        tokens = words(text)
+    def search(self, tokens: list[str], threshold: float, overlap: float) -> list[tuple[int | None, float, float, float, float]]:
+        """Items verified in a text's words: (item_id, score, overlap, question overlap, answer overlap), the best of each."""
         get = self.term.get
         ids = np.fromiter((get(t, -1) for t in tokens), np.int64, len(tokens))
-        best: dict[int, tuple[float, float, float, float]] = {}
+        best: dict[int | None, tuple[float, float, float, float]] = {}
         step, here = max(self.longest, 8), -1
         for window, block, terms in self.candidates(ids, step, threshold):
             first = block * BLOCK
@@ -176,7 +177,7 @@ class ItemIndex:
                 row = (score, *(_share(wanted, near, joined) for wanted in (item.whole, item.question, item.answer)))
                 if (row[1] >= overlap or min(row[2:]) >= overlap) and row > best.get(item.item_id, (0.0,)):
                     best[item.item_id] = row
-        return [(k, *v) for k, v in sorted(best.items())]
+        return [(k, *v) for k, v in sorted(best.items(), key=lambda x: (x[0] is None, x[0] or 0))]
 
 
 def _share(wanted: set, near: set, joined: str) -> float:
@@ -185,77 +186,99 @@ def _share(wanted: set, near: set, joined: str) -> float:
     return held / len(wanted) if wanted else 1.0
 
 
-def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[ItemIndex]:
-    """Indexes of bounded size over all test items; null and wordless items are left out, repeated ones count once."""
-    rows = benchmark.selectExpr(f"cast({id_col} as long) item_id", f"cast({text_col} as string) text").where("item_id is not null and text is not null").distinct()
-    # Test items are reference data held by the driver; they reach executors in indexes of bounded size only.
-    items = sorted((r.item_id, r.text) for r in rows.toLocalIterator())
+def build_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", chars: int = INDEX_CHARS) -> Iterator[list[ItemIndex]]:
+    """Indexes of ``chars`` of test items at a time, together all items; null and wordless ones are left out.
+
+    Equal rows count once, and items with a null id like any other. The driver streams the items, once for the statistics
+    and once for the indexes, and holds one part of them. Items of a part that differ in length by more than a factor of
+    four have indexes of their own, so that a long item doesn't widen the passages of all.
+    """
+    rows = benchmark.select(F.col(quoted(id_col)).cast("long").alias("item_id"), F.col(quoted(text_col)).cast("string").alias("text")).where("text is not null").distinct()
+    rows, path = stored(rows)
     df: Counter = Counter()
     length = total = 0
-    for _, text in items:
-        tokens = words(text)
+    for row in rows.select("text").toLocalIterator():
+        tokens = words(row.text)
         df.update(set(tokens))
         length += len(tokens)
         total += bool(tokens)
-    out, part, size = [], [], 0
-    for item in items:
-        part.append(item)
-        size += len(item[1])
-        if size >= INDEX_CHARS:
-            out.append(ItemIndex(part, df, total, length / max(1, total)))
+
+    def made(part: list[tuple[int | None, str]]) -> list[ItemIndex]:
+        zones: dict[int, list[tuple[int | None, str]]] = {}
+        for item in part:
+            zones.setdefault(max(0, len(words(item[1])).bit_length() - 6) // 2, []).append(item)
+        indexes = [ItemIndex(own, df, total, length / max(1, total)) for _, own in sorted(zones.items())]
+        return [i for i in indexes if i.items]
+
+    part, size = [], 0
+    for row in rows.orderBy("item_id", "text").toLocalIterator():
+        part.append((row.item_id, row.text))
+        size += len(row.text)
+        if size >= chars:
+            yield made(part)
             part, size = [], 0
     if part:
-        out.append(ItemIndex(part, df, total, length / max(1, total)))
-    return [i for i in out if i.items]
+        yield made(part)
+    drop_stored(benchmark.sparkSession, path)
 
 
-_FOUND = "array<struct<item_id:long,score:double,overlap:double,question_overlap:double,answer_overlap:double>>"
+def matches(indexes: list[ItemIndex], text: str | None, threshold: float, overlap: float) -> list[tuple[int | None, float, float, float, float]]:
+    tokens = words(text) if text else []
+    return [hit for index in indexes for hit in index.search(tokens, threshold, overlap)] if tokens else []
 
 
 _NAMES = ("item_id", "score", "overlap", "question_overlap", "answer_overlap")
-_KIND = pa.list_(pa.struct([(n, pa.int64() if n == "item_id" else pa.float64()) for n in _NAMES]))
-
 
-def _matcher(held, threshold: float, overlap: float):
-    """An Arrow UDF from texts to the items of one index verified in them."""
 
-    @F.arrow_udf(_FOUND)
-    def match(texts: pa.Array) -> pa.Array:
-        index, out = held.value, []
-        for part in slices(iter([pa.RecordBatch.from_arrays([texts], names=["t"])]), 0):
-            for text in part.column(0).to_pylist():
-                hits = index.search(text, threshold, overlap) if text else []
-                out.append([dict(zip(_NAMES, h, strict=True)) for h in hits])
-        return pa.array(out, _KIND)
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, id_col: str = "doc_id", text_col: str = "text", chars: int = INDEX_CHARS) -> DataFrame:
+    """``doc_id, item_id, score, overlap, question_overlap, answer_overlap`` of every verified pair.
 
-    return match
+    ``threshold`` is the share of an item's own BM25 score that a passage must reach to be retrieved. A pair is verified
+    if ``overlap`` of the item's five-word shingles, or of those of question and of answer alike, stand in one passage.
+    Repeated rows give repeated pairs; rows or items with a null id are reported with a null id; null and empty texts
+    hold nothing; very long texts are searched whole. Other columns are ignored, whatever their names. An empty benchmark
+    or an empty table gives no rows. Each index is searched in a pass of its own.
+    """
+    spark, docs = docs.sparkSession, id_and_text(docs, id_col, text_col)
+    schema = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
+    kinds = [pa.int64()] * 2 + [pa.float64()] * 4
 
+    def search(held) -> DataFrame:
+        def start():
+            def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+                found = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in matches(held.value, text, threshold, overlap)]
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=["doc_id", *_NAMES]) if found else None
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, column: str, threshold: float = 0.5, overlap: float = 0.8, text_col: str = "text") -> DataFrame:
-    """``docs`` with an array ``column`` of the test items verified in each whole text; null and empty texts have none."""
-    context = docs.sparkSession.sparkContext
-    parts = []
-    for number, index in enumerate(build_indexes(benchmark)):
-        name = unused(docs, f"{column}_{number}")
-        docs = docs.withColumn(name, _matcher(context.broadcast(index), threshold, overlap)(F.col(text_col)))
-        parts.append(name)
-    found = F.concat(*parts) if parts else F.array().cast(_FOUND)
-    return docs.withColumn(column, found).drop(*parts)
+            return work
 
+        return map_rows(docs, schema, start)
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, item_id, score, overlap, question_overlap, answer_overlap`` of every verified pair.
+    parts = [search(spark.sparkContext.broadcast(indexes)) for indexes in build_indexes(benchmark, chars=chars)]
+    return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
-    ``threshold`` is the share of an item's own BM25 score that a passage must reach to be retrieved. A pair is verified
-    if ``overlap`` of the item's five-word shingles, or of those of question and of answer alike, stand in one passage.
-    Repeated rows give repeated pairs; rows with a null id are reported with a null id; an empty benchmark gives none.
-    """
-    docs = docs.selectExpr(f"cast({id_col} as long) doc_id", f"cast({text_col} as string) text")
-    found = with_matches(docs, benchmark, "found", threshold, overlap)
-    return found.selectExpr("doc_id", "inline(found)")
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, text_col: str = "text", chars: int = INDEX_CHARS) -> DataFrame:
+    """The rows, all columns kept, in which no test item is verified.
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, text_col: str = "text") -> DataFrame:
-    """The rows, all columns kept, in which no test item is verified."""
-    name = unused(docs, "matched_items")
-    return with_matches(docs, benchmark, name, threshold, overlap, text_col).where(F.size(name) == 0).drop(name)
+    Null and empty texts, null ids and repeated rows stay, as do columns of any name; an empty benchmark drops nothing.
+    Indexes are searched one after the other, each in what the one before has left, which is written in between.
+    """
+    spark, before = docs.sparkSession, []
+
+    def clean(held):
+        @F.arrow_udf("boolean")
+        def run(texts: pa.Array) -> pa.Array:
+            out: list[bool] = []
+            for part in slices(iter([pa.RecordBatch.from_arrays([texts], names=["t"])]), 0):
+                out += [not matches(held.value, text, threshold, overlap) for text in part.column(0).to_pylist()]
+            return pa.array(out, pa.bool_())
+
+        return run
+
+    for number, indexes in enumerate(build_indexes(benchmark, chars=chars)):
+        if number:
+            docs, path = stored(docs)
+            drop_stored(spark, *before)
+            before = [path]
+        docs = docs.where(clean(spark.sparkContext.broadcast(indexes))(F.col(quoted(text_col)).cast("string")))
+    return docs

@@ -2,7 +2,7 @@
 
 A score-ordered agenda of adjacent symbol pairs: the best pair (highest score, then leftmost) is merged until none is in
 the vocabulary. Characters left without a piece fall back to their bytes. In every Arrow batch, the segments not met before
-are encoded by the sentencepiece library too, and rows with a segment that differs are marked.
+are encoded by the sentencepiece library too, and all ids decoded; a row that differs is marked and is the library's.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2 as model_proto
 
-from textloom.llm.batches import map_rows, strings
+from textloom.llm.batches import id_and_text, map_rows, strings
 
 SPACE = "▁"
 #: Segments longer than this are encoded afresh each time, and the cache is emptied at its limit.
@@ -213,8 +213,9 @@ def encode_texts(docs: DataFrame, model: str, with_ids: bool = False, id_col: st
     """Encode and decode every whole text: ``doc_id, n_tokens, ids_sha256, decoded_sha256, verified``.
 
     Ids have the begin and end ids; null and empty texts are just these two. ``verified`` tells that the sentencepiece
-    library encodes all the row's segments alike. ``with_ids`` adds ``ids`` and ``decoded``. Null ids and
-    repeated rows are kept. ``model`` is a path present on every machine.
+    library encodes all the row's segments, and decodes its ids, alike; where it does not, the row is the library's.
+    ``with_ids`` adds ``ids`` and ``decoded``. Very long texts are encoded whole. Null ids and repeated rows are kept; other
+    columns are ignored, whatever their names; an empty table gives no rows. ``model`` is a path present on every machine.
     """
 
     def start():
@@ -224,9 +225,14 @@ def encode_texts(docs: DataFrame, model: str, with_ids: bool = False, id_col: st
             texts = strings(batch.column(1))
             packed = [codec.packed(t) for t in texts]
             ids = [np.frombuffer(p, "<u4").tolist() for p in packed]
-            decoded = [codec.decode(i) for i in ids]
             wrong.update(codec.wrong())
             right = [not wrong or wrong.isdisjoint(codec.segments(t)) for t in texts]
+            for k in (k for k, same in enumerate(right) if not same):
+                ids[k] = codec.library.encode(texts[k], add_bos=True, add_eos=True)
+                packed[k] = np.array(ids[k], "<u4").tobytes()
+            decoded, theirs = [codec.decode(i) for i in ids], codec.library.decode(ids, num_threads=1)
+            right = [same and own == other for same, own, other in zip(right, decoded, theirs, strict=True)]
+            decoded = theirs
             arrays = [
                 batch.column(0),
                 pa.array([len(i) for i in ids], pa.int64()),
@@ -243,4 +249,4 @@ def encode_texts(docs: DataFrame, model: str, with_ids: bool = False, id_col: st
         return work
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, verified boolean"
-    return map_rows(docs.selectExpr(f"cast({id_col} as long) doc_id", f"cast({text_col} as string) text"), schema + ", ids array<int>, decoded string" * with_ids, start)
+    return map_rows(id_and_text(docs, id_col, text_col), schema + ", ids array<int>, decoded string" * with_ids, start)

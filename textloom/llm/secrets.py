@@ -2,10 +2,10 @@
 
 For a candidate token the encoding is inferred from its characters. Two questions are asked of it. Is it random: a
 chi-squared test of alphabet uniformity, a runs test about the alphabet's middle and a lag-one serial correlation, all
-under the inferred alphabet, must not reject randomness (Bonferroni over the three). Is it not text: character
+under the inferred alphabet, give a p-value (Bonferroni over the three). Is it not text: character
 coincidences, changes between digits, capitals and small letters (in tokens of letters: capitals side by side), and the
 membership of the whole token in a small alphabet (in tokens of letters: rare ones) give a p-value under a model of ordinary words. Evidence grows with length by itself. Over all candidates of a
-document the p-values go through a Benjamini-Hochberg step whose weights favour long tokens.
+document the second p-values go through a Benjamini-Hochberg step whose weights come from the length and the first ones.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.batches import map_rows, strings
+from textloom.llm.batches import id_and_text, map_rows, quoted, strings
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -28,6 +28,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])")
 
+_SEGMENTS = re.compile(r"(?:[a-z][a-z_-]+/)*")
+
 # Inferred encodings, the smallest alphabet that holds a token first, in its own order.
 _DIGITS, _SMALL, _CAPITAL = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (
@@ -112,22 +114,39 @@ def wordlikeness(token: str, name: str) -> float:
     return math.exp(-half) * (1 + half + half * half / 2)
 
 
-def random_spans(text: str, rate: float = 1e-4, alpha: float = 1e-3) -> list[tuple[int, int]]:
-    """Spans of tokens taken for random; ``rate`` bounds the false discoveries, ``alpha`` is the battery's level."""
-    family: list[tuple[float, float, int, int, str, dict[str, int] | None]] = []
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """Spans and tokens of 16 or more characters of an encoding; leading small-letter path segments don't belong to them, padding only to the span."""
+    found = []
     for match in _CANDIDATE.finditer(text):
-        token = match[0].rstrip("=")
-        if len(token) < 16:
+        start = _SEGMENTS.match(text, match.start(), match.end()).end()
+        token = text[start : match.end()].rstrip("=")
+        if len(token) >= 16:
+            found.append((start, match.end(), token))
+    return found
+
+
+def random_spans(text: str, base: list[tuple[int, int, int]] = (), rate: float = 1e-4, alpha: float = 1e-3) -> list[tuple[int, int]]:
+    """Spans of tokens taken for random, none of which touches a ``base`` span; ``rate`` bounds the false discoveries.
+
+    The family is all other candidates of the text. Their p-values under ordinary words go through a Benjamini-Hochberg
+    step with weights: a token's length over the mean one, times how far the battery lets it be random. A battery p-value
+    of ``alpha`` or more keeps the whole weight; below, the weight falls with its cube. Weights' mean is one at most.
+    """
+    family: list[tuple[float, int, float, int, int]] = []
+    for start, end, token in candidates(text):
+        if any(start < b and a < end for a, _, b in base):
             continue
         found = infer_encoding(token)
-        p = 1.0 if found is None or token.isdigit() else wordlikeness(token, found[0])
-        family.append((p, float(len(token)), match.start(), match.end(), token, found and found[1]))
+        if found is None or token.isdigit():
+            family.append((1.0, len(token), 0.0, start, end))
+        else:
+            family.append((wordlikeness(token, found[0]), len(token), min(1.0, randomness(token, found[1]) / alpha) ** 3, start, end))
     if not family or min(f[0] for f in family) > rate:
         return []
     mean = sum(f[1] for f in family) / len(family)
-    ranked = sorted((f[0] * mean / f[1], *f[2:]) for f in family)
+    ranked = sorted((p * mean / (size * free) if free else math.inf, start, end) for p, size, free, start, end in family)
     last = max((k for k, f in enumerate(ranked, 1) if f[0] <= rate * k / len(ranked)), default=0)
-    return sorted((start, end) for _, start, end, token, letters in ranked[:last] if letters and randomness(token, letters) >= alpha)
+    return sorted((start, end) for _, start, end in ranked[:last])
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -141,7 +160,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def all_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Base spans and the random tokens that touch none of them."""
-    extra = [(s, 3, e) for s, e in random_spans(text) if all(e <= a or b <= s for a, _, b in base)]
+    extra = [(s, 3, e) for s, e in random_spans(text, base)]
     return sorted(base + extra) if extra else base
 
 
@@ -150,10 +169,11 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Secrets of every whole text: ``doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans``.
+    """Secrets of every whole text: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random``.
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind, comma-joined. Null and empty texts
-    have none (an empty ``spans``). Null ids and repeated rows are kept.
+    have none (an empty ``spans``). Very long texts are scanned whole. Null ids and repeated rows are kept; other columns
+    are ignored, whatever their names; an empty table gives no rows.
     """
 
     def start():
@@ -163,16 +183,16 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 base = base_spans(text)
                 spans = all_spans(text, base)
                 number = Counter(k for _, k, _ in spans)
-                rows.append((number[0], number[1], number[2], number[3], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
-            names = ["n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"]
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2
+                rows.append((number[0], number[1], number[2], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), number[3]))
+            names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"]
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
             columns = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", *names])
 
         return work
 
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
-    return map_rows(docs.selectExpr(f"cast({id_col} as long) doc_id", f"cast({text_col} as string) text"), schema, start)
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
+    return map_rows(id_and_text(docs, id_col, text_col), schema, start)
 
 
 def redact(text: str, mark: str = "[SECRET]") -> str:
@@ -188,15 +208,16 @@ def redact(text: str, mark: str = "[SECRET]") -> str:
 def redact_secrets(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars", mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns, with each secret in ``text_col`` replaced by ``mark`` and ``size_col`` counted anew.
 
-    Rows without secrets stay as they are; null texts stay null; a missing ``size_col`` is ignored.
+    Rows without secrets stay as they are; null texts stay null, with their count; empty texts stay empty. A missing
+    ``size_col`` is ignored. Null ids, repeated rows and columns of any other name stay; an empty table stays empty.
     """
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: redact(t, mark), na_action="ignore")
 
-    out = docs.withColumn(text_col, clean(F.col(text_col)))
+    out = docs.withColumn(text_col, clean(F.col(quoted(text_col))))
     if size_col in docs.columns:
         kind = docs.schema[size_col].dataType
-        out = out.withColumn(size_col, F.coalesce(F.length(text_col).cast(kind), F.col(size_col)))
+        out = out.withColumn(size_col, F.coalesce(F.length(quoted(text_col)).cast(kind), F.col(quoted(size_col))))
     return out

@@ -16,10 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from textloom.llm.batches import drop_stored, map_rows, stored, strings
+from textloom.llm.batches import drop_stored, id_and_text, map_rows, quoted, slices, stored, strings, unused
 
 BITS, BLOCKS = 64, 4
 #: Groups of more fingerprints are dealt again, up to this many times.
@@ -58,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return work
 
-    return map_rows(docs.selectExpr(f"cast({id_col} as long) doc_id", f"cast({text_col} as string) text"), "doc_id long, fp long", start)
+    return map_rows(id_and_text(docs, id_col, text_col), "doc_id long, fp long", start)
 
 
 class _Forest:
@@ -247,7 +248,10 @@ def _forests(rows: DataFrame, prefix: int, budget: int) -> DataFrame:
 
 
 def links(fps: DataFrame, budget: int = 3, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Links between distinct fingerprints (column ``fp``) whose components are those of all pairs within ``budget``."""
+    """Links between distinct fingerprints (column ``fp``) whose components are those of all pairs within ``budget``.
+
+    The last deal needs no limit: its groups agree on 43 bits, so that one holds at most 2**21 fingerprints (16 MB).
+    """
     if budget >= BLOCKS:
         raise ValueError("four blocks find pairs that differ in up to three bits")
     rows, prefix = _dealt(fps.selectExpr("cast(0 as int) path", "fp bits"), 0, 0)
@@ -270,8 +274,8 @@ def links(fps: DataFrame, budget: int = 3, group_limit: int = GROUP_LIMIT) -> Da
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for every node of ``edges`` (a, b): the root is a node of its component, one for all of it.
+def components(edges: DataFrame) -> tuple[DataFrame, str]:
+    """``node, root`` for every node of ``edges`` (a, b), and the path it is read from: one root for all of a component.
 
     Large-star and small-star steps alternate until nothing moves. Each step is aggregations and joins on the node; a
     centre with many neighbours is only ever a partial minimum and one side of a join. Every round is written to the
@@ -293,7 +297,7 @@ def components(edges: DataFrame) -> DataFrame:
         if changed == mark:
             break
         mark = changed
-    return state.selectExpr("a node", "b root").unionByName(state.selectExpr("b node", "b root").distinct())
+    return state.selectExpr("a node", "b root").unionByName(state.selectExpr("b node", "b root").distinct()), path
 
 
 def _mark(state: DataFrame) -> tuple:
@@ -305,33 +309,53 @@ def near_duplicates(docs: DataFrame, budget: int = 3, group_limit: int = GROUP_L
     """``doc_id, fingerprint, component_id`` for every row.
 
     ``fingerprint`` is 16 lowercase hex digits; ``component_id`` is the smallest id reachable over links of ``budget`` or
-    fewer differing bits, the row's own included. Null and empty texts have fingerprint zero, linked like any other. Rows
-    with a null id get the smallest id of the others (null if there is none). Repeated rows are all kept.
+    fewer differing bits, the row's own included. Null and empty texts have fingerprint zero, linked like any other; very
+    long texts are shingled whole. Rows with a null id get the smallest id of the others (null if there is none). Repeated
+    rows are all kept; other columns are ignored, whatever their names; an empty table gives no rows.
     """
+    spark = docs.sparkSession
     signs, _ = stored(fingerprints(docs, id_col, text_col))
-    fps, _ = stored(signs.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    edges, _ = stored(links(fps.select("fp"), budget, group_limit))
-    roots = components(edges)
+    fps, fps_path = stored(signs.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    edges, edges_path = stored(links(fps.select("fp"), budget, group_limit))
+    roots, roots_path = components(edges)
     linked = fps.join(roots, fps.fp == roots.node).select("fp", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("least"))
     classes = linked.select("fp", "root").join(least, "root").select("fp", F.col("least").alias("reached"))
     classes = fps.join(classes, "fp", "left").select("fp", F.coalesce("reached", "least").alias("component_id"))
     # Stored, so that the last join stands alone and AQE can split the partition of a fingerprint that many rows share.
     classes, _ = stored(classes)
+    drop_stored(spark, fps_path, edges_path, roots_path)
     return signs.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each near-duplicate group: that of its smallest id, all columns kept.
 
-    Rows with a null id all stay. An id that repeats is judged by the smallest component of its rows, and if it stays it
-    is reduced to one row.
+    Rows with a null id all stay. An id that repeats is judged row by row, each by its own text; of rows with the smallest
+    id of one group the one whose text, and then whose other columns' hash, is first stays. Null and empty texts are one
+    group. Columns may have any name; an empty table stays empty.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col).where("doc_id is not null")
     ids, _ = stored(found.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("rows")))
-    gone = ids.where("least < doc_id").select(F.col("doc_id").alias("gone_id"))
     # The ids that go grow with the corpus: they are never broadcast, at no size.
-    out = docs.join(gone.hint("merge"), docs[id_col] == F.col("gone_id"), "left_anti")
-    if not ids.where("rows > 1").isEmpty():
-        out = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
-    return out
+    name, key = unused(docs, "gone_id"), F.col(quoted(id_col)).cast("long")
+    gone = ids.where("least < doc_id or rows > 1").select(F.col("doc_id").alias(name))
+    out = docs.join(gone.hint("merge"), key == F.col(name), "left_anti")
+    if ids.where("rows > 1").isEmpty():
+        return out
+    again = docs.join(ids.where("rows > 1").select(F.col("doc_id").alias(name)).hint("merge"), key == F.col(name), "left_semi")
+    sign, place = unused(docs, "own_sign"), unused(docs, "own_place")
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(name), F.col("fingerprint").alias(sign)).distinct()
+    signed = again.withColumn(sign, _signed(F.col(quoted(text_col)).cast("string")))
+    signed = signed.join(first.withColumnRenamed(sign, place), (key == F.col(name)) & (F.col(sign) == F.col(place)), "left_semi")
+    order = Window.partitionBy(key).orderBy(F.col(quoted(text_col)), F.xxhash64(*(F.col(quoted(c)) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind)))
+    return out.unionByName(signed.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place, sign))
+
+
+@F.arrow_udf(StringType())
+def _signed(texts: pa.Array) -> pa.Array:
+    """Fingerprints as hex digits."""
+    out: list[str] = []
+    for part in slices(iter([pa.RecordBatch.from_arrays([texts], names=["t"])]), 0):
+        out += [f"{fingerprint(t):016x}" for t in strings(part.column(0))]
+    return pa.array(out, pa.string())

@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from textloom.llm.batches import map_rows, strings
+from textloom.llm.batches import id_and_text, map_rows, strings
 
 # The split pattern of byte-level vocabularies; white space is Unicode's White_Space.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -116,8 +116,9 @@ def counter_of(path: str) -> MergeCounter:
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Bytes and tokens of every whole text: ``doc_id, n_bytes, n_tokens, over_limit``.
 
-    Null and empty texts have 0 bytes and 0 tokens; null ids and repeated rows are kept as they are. ``vocabulary`` is
-    the path of a byte-level BPE ``.json`` file, present on every machine.
+    Null and empty texts have 0 bytes and 0 tokens; very long texts are counted whole; null ids and repeated rows are kept
+    as they are; other columns are ignored, whatever their names; an empty table gives no rows. ``vocabulary`` is the path
+    of a byte-level BPE ``.json`` file, present on every machine.
     """
 
     def start():
@@ -133,4 +134,4 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
 
         return work
 
-    return map_rows(docs.selectExpr(f"cast({id_col} as long) doc_id", f"cast({text_col} as string) text"), "doc_id long, n_bytes long, n_tokens long, over_limit boolean", start)
+    return map_rows(id_and_text(docs, id_col, text_col), "doc_id long, n_bytes long, n_tokens long, over_limit boolean", start)

@@ -29,7 +29,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.batches import drop_stored, fold, map_rows, slices, smallest_hashes, stored, strings
+from textloom.llm.batches import drop_stored, fold, id_and_text, map_rows, slices, smallest_hashes, stored, strings
 
 #: Bigrams that a class has in up to this many texts, and words after up to this many, are left wholly to the backoff.
 RARE = 3
@@ -370,9 +370,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_ou
 
     ``labels`` has doc_id and toxic; only ids whose crc32 modulo ``held_out[0]`` isn't ``held_out[1]`` are learned from.
     ``predicted`` is 1 if ``score`` is at least ``threshold``. Null and empty texts score the calibration's constant; null
-    ids aren't held out; repeated rows are kept. Without labels of both kinds every text scores alike.
+    ids aren't held out; very long texts are counted and scored whole; equal texts score alike and repeated rows are kept;
+    other columns are ignored, whatever their names. Without labels of both kinds every text scores alike; an empty table
+    gives no rows.
     """
-    rows = docs.selectExpr(f"cast({id_col} as long) doc_id", f"cast({text_col} as string) text")
+    rows = id_and_text(docs, id_col, text_col)
     rows = rows.withColumn("held_out", F.coalesce(fold("doc_id", held_out[0]) == held_out[1], F.lit(False)))
     known = labels.selectExpr("cast(doc_id as long) doc_id", "cast(toxic as int) label").where(fold("doc_id", held_out[0]) != held_out[1])
     models, pairs, path = fit(rows.where("not held_out").select("doc_id", "text"), known)
