@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import asdict, dataclass, fields, replace
 
 
 @dataclass(frozen=True)
@@ -30,12 +31,31 @@ class Config:
     round_urls: int = 99
     default_delay: float = 1.5
     decay: float = 0.2
-    ban_average: float = 3.0
+    ban_average: float = 0.9
     ban_samples: int = 3
 
 
 DEFAULT = Config()
 
+
+def from_yaml(text: str, start: Config = DEFAULT) -> Config:
+    """``start`` with the scalar settings of a YAML mapping; sections only group, unknown names are ignored."""
+    kinds = {f.name: type(getattr(start, f.name)) for f in fields(start)}
+    found: dict[str, object] = {}
+    for line in text.splitlines():
+        name, colon, value = line.partition(":")
+        value = value.split(" #")[0].strip().strip("\"'")
+        if colon and value and not line.lstrip().startswith("#") and name.strip() in kinds:
+            found[name.strip()] = kinds[name.strip()](value)
+    return replace(start, **found)
+
+
+def view(config: Config | Mapping[str, object], secret: Sequence[str] = ("key", "token", "password")) -> dict[str, object]:
+    """Settings for showing: a copy in which values of names that tell a secret are masked."""
+    held = asdict(config) if isinstance(config, Config) else dict(config)
+    return {k: view(v, secret) if isinstance(v, Mapping) else "***" if v and any(s in k.lower() for s in secret) else v for k, v in held.items()}
+
+
 #: Session settings that suit this engine on any cluster; sizes of partitions are left to the cluster.
 SPARK = {
     "spark.sql.session.timeZone": "UTC",

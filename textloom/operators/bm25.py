@@ -7,11 +7,13 @@ top rows alone.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.config import DEFAULT, Config
-from textloom.functions.text import tokens
+from textloom.functions.text import normalised, tokens
 
 #: Digits of a score that count in ranking, so that the order of additions can't decide a tie.
 DIGITS = 10
@@ -19,9 +21,10 @@ DIGITS = 10
 BROADCAST_TERMS = 1_000_000
 
 
-def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, tokens`` of documents that have any."""
-    return docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("tokens")).where(F.size("tokens") > 0)
+def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None, spellings: Sequence[tuple[str, str]] = (), limit: int | None = None) -> DataFrame:
+    """``doc_id, tokens`` of documents that have any, from the text or, with ``title_col``, from the normalised whole."""
+    text = normalised(F.col(title_col) if title_col else F.lit(""), F.col(text_col), spellings, limit) if title_col or spellings or limit else F.col(text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), tokens(text).alias("tokens")).where(F.size("tokens") > 0)
 
 
 def document_stats(tokenised: DataFrame) -> DataFrame:
@@ -29,8 +32,15 @@ def document_stats(tokenised: DataFrame) -> DataFrame:
 
 
 def term_freq(tokenised: DataFrame) -> DataFrame:
-    """Postings: each document's terms and how often it has them."""
-    return tokenised.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("freq"))
+    """Postings: each document's terms and how often it has them.
+
+    A document is one row, so its terms are counted in the row, as runs of its sorted tokens; nothing is shuffled.
+    """
+    rows = tokenised.select("doc_id", F.sort_array("tokens").alias("s"))
+    first = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    rows = rows.select("doc_id", "s", first.alias("at"))
+    runs = F.transform("at", lambda x, k: F.struct(F.get("s", x).alias("term"), (F.coalesce(F.get("at", k + 1), F.size("s")) - x).cast("long").alias("freq")))
+    return rows.select("doc_id", F.inline(runs))
 
 
 def term_stats(postings: DataFrame, total: DataFrame) -> DataFrame:

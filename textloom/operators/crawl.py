@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.urls import longest_prefix
 from textloom.session import ensure_checkpoint_dir
 
 #: Fixed values: (first code, last code, failures in a row that ban a URL, sample for the domain's average, delay).
@@ -60,6 +61,29 @@ def not_blocked(urls: DataFrame, blocked_urls: DataFrame, blocked_domains: DataF
     return urls.join(blocked_urls.select("url").distinct(), "url", "left_anti").join(blocked_domains.select("domain").distinct(), "domain", "left_anti")
 
 
+def cleaned(blocked_urls: DataFrame, blocked_domains: DataFrame) -> DataFrame:
+    """Blocked URLs (url, domain) without those whose whole domain is blocked."""
+    return blocked_urls.join(blocked_domains.select("domain").distinct(), "domain", "left_anti")
+
+
+def incoming_scores(urls: DataFrame, links: DataFrame, pages: DataFrame) -> DataFrame:
+    """``url, incoming``: sum of the scores of each URL's links (url, parent, score), a parent counting once.
+
+    A link without a score has its parent's among ``pages`` (url, score), if it is there. Sums are partial aggregates, so a
+    URL that very many pages link to is no row of its own.
+    """
+    own = links.join(urls.select("url").distinct(), "url", "left_semi").groupBy("url", "parent").agg(F.max("score").alias("score"))
+    known = pages.select(F.col("url").alias("parent"), F.col("score").alias("stored"))
+    sums = own.join(known, "parent", "left").groupBy("url").agg(F.sum(F.coalesce("score", "stored", F.lit(0.0))).alias("incoming"))
+    return urls.select("url").distinct().join(sums, "url", "left").select("url", F.coalesce("incoming", F.lit(0.0)).alias("incoming"))
+
+
+def allowed_paths(rows: DataFrame, rules: DataFrame, path: Column) -> DataFrame:
+    """``allowed`` for rows (domain): whether the longest rule that the path starts with allows it; ties and no rule allow."""
+    joined = rows.join(rules.select("domain", F.col("allowed").alias("may"), "forbidden"), "domain", "left")
+    return joined.withColumn("allowed", F.coalesce(longest_prefix(path, F.col("may")) >= longest_prefix(path, F.col("forbidden")), F.lit(True))).drop("may", "forbidden")
+
+
 def last_events(events: DataFrame, key: str, time: str, tie: str, most: int = 100) -> DataFrame:
     """The latest events of each key."""
     order = Window.partitionBy(key).orderBy(F.desc(time), F.desc(tie))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 #: Elements and classes whose content is left out, and where the main content is looked for, in order.
 DROPPED_TAGS = {"nav", "header", "footer", "aside", "script", "style", "noscript"}
 DROPPED_CLASSES = {"ad", "ads", "social", "share", "comment", "meta", "breadcrumb"}
+LINKING = {"a", "link", "enclosure"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 SITEMAP = re.compile(r"sitemap.*\.xml$|/sitemap/?$|sitemap_index.*\.xml$")
 
@@ -22,61 +24,62 @@ SITEMAP = re.compile(r"sitemap.*\.xml$|/sitemap/?$|sitemap_index.*\.xml$")
 class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, set[str]]] = []  # tag, dropped, kinds of main content
-        self.title: list[str] = []
-        self.heading: list[str] = []
+        self.stack: list[tuple[str, bool, list[tuple[str, int]]]] = []  # tag, dropped, main content that it opens
+        self.seen: Counter[str] = Counter()
+        self.title: list[str] | None = None
+        self.heading: list[str] | None = None
+        self.open: dict[str, int] = {}  # depth at which the first title and h1 stand
         self.texts: dict[str, list[str]] = {}
         self.links: list[str] = []
-        self.feed_tag = ""
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         held = {k: v or "" for k, v in attrs}
         classes = set(held.get("class", "").split())
         gone = bool(self.stack and self.stack[-1][1]) or tag in DROPPED_TAGS or bool(classes & DROPPED_CLASSES)
-        href = held.get("href", "").strip()
-        if not gone:
-            if (tag == "a" and href.startswith(("http", "/"))) or (tag in ("link", "enclosure") and (href or held.get("url"))):
-                self.links.append(href or held["url"])
-        kinds = set()
-        if tag in ("main", "article", "body"):
-            kinds.add(tag)
-        if held.get("role") == "main":
-            kinds.add("role")
-        if "content" in classes:
-            kinds.add("class")
-        if held.get("id") == "content":
-            kinds.add("id")
-        if tag not in VOID:
-            self.stack.append((tag, gone, kinds))
+        href = (held.get("href") or (held.get("url", "") if tag != "a" else "")).strip()
+        if not gone and tag in LINKING and href.startswith(("http", "/")):
+            self.links.append(href)
+        kinds = [tag] if tag in ("main", "article", "body") else []
+        kinds += ["role"] * (held.get("role") == "main") + ["class"] * ("content" in classes) + ["id"] * (held.get("id") == "content")
+        opened = []
+        for kind in kinds if not gone else []:
+            self.seen[kind] += 1
+            opened.append((kind, self.seen[kind]))
+        if tag not in VOID or (tag == "link" and not held):  # a feed's link holds its address as text
+            if tag == "title" and self.title is None:
+                self.title, self.open["title"] = [], len(self.stack)
+            if tag == "h1" and self.heading is None and not gone:
+                self.heading, self.open["h1"] = [], len(self.stack)
+            self.stack.append((tag, gone, opened))
 
     def handle_endtag(self, tag: str) -> None:
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at][0] == tag:
                 del self.stack[at:]
+                self.open = {k: v for k, v in self.open.items() if v < at}
                 break
 
     def handle_data(self, data: str) -> None:
-        tags = [t for t, _, _ in self.stack]
-        if "title" in tags:
+        if "title" in self.open:
             self.title.append(data)
+        if any(tag == "title" for tag, _, _ in self.stack) or (self.stack and self.stack[-1][1]):
             return
-        if "h1" in tags and not (self.stack and self.stack[-1][1]):
+        if "h1" in self.open:
             self.heading.append(data)
-        if self.stack and self.stack[-1][1]:
-            return
-        if tags and tags[-1] in ("link", "enclosure") and data.strip():
+        if self.stack and self.stack[-1][0] in LINKING - {"a"} and data.strip().startswith(("http", "/")):
             self.links.append(data.strip())
-        for kind in {"all"}.union(*(k for _, _, k in self.stack)):
+        # Of several elements of one kind the first counts; inner ones are part of it.
+        for kind in {"all"}.union(k for _, _, opened in self.stack for k, nth in opened if nth == 1):
             self.texts.setdefault(kind, []).append(data)
 
 
 def parse_page(page: str | None, base: str | None) -> tuple[str, str, list[str]]:
-    """Title, main text and sorted absolute links without sitemaps."""
+    """Title (the first, else the first heading), main text and sorted absolute links without sitemaps."""
     parser = _Page()
     parser.feed(page or "")
     parser.close()
     texts = next((parser.texts[k] for k in ("main", "role", "article", "class", "id", "body", "all") if k in parser.texts), [])
-    title = "".join(parser.title).strip() or "".join(parser.heading).strip() or "Untitled"
+    title = "".join(parser.title or []).strip() or "".join(parser.heading or []).strip() or "Untitled"
     links = {html.unescape(urljoin(base or "", link)) for link in parser.links}
     return title, re.sub(r"\s+", " ", "\n".join(texts)).strip(), sorted(x for x in links if not SITEMAP.search(x.lower()))
 

@@ -30,14 +30,19 @@ def candidates(scores: DataFrame, docs: DataFrame, chunks: DataFrame, config: Co
 
 
 def fused(rows: DataFrame, share: float = 0.15, query: str = "query_num") -> DataFrame:
-    """``fused`` from ``similarity`` and ``lexical``, each scaled to 0..1 over the query's chunks (0 if all are equal)."""
-    w = Window.partitionBy(query)
+    """``fused`` from ``similarity`` and ``lexical``, each scaled to 0..1 over the query's chunks (0 if all are equal).
+
+    The extremes are partial aggregates joined back, so that no task gathers all chunks of a query.
+    """
+    names = ("similarity", "lexical")
+    ends = rows.groupBy(query).agg(*[f(n).alias(f"{k}_{n}") for n in names for k, f in (("low", F.min), ("high", F.max))])
 
     def scaled(name: str):
-        low, high = F.min(name).over(w), F.max(name).over(w)
+        low, high = F.col(f"low_{name}"), F.col(f"high_{name}")
         return F.when(high > low, (F.col(name) - low) / (high - low)).otherwise(0.0)
 
-    return rows.withColumn("fused", scaled("similarity") * (1 - share) + scaled("lexical") * share)
+    joined = rows.join(ends, query).withColumn("fused", scaled("similarity") * (1 - share) + scaled("lexical") * share)
+    return joined.select(*rows.columns, "fused")
 
 
 def positional(rows: DataFrame, query: str = "query_num", score: str = "fused") -> DataFrame:
@@ -68,14 +73,16 @@ def diversified(rows: DataFrame, top_k: int = 100, threshold: float = 0.8, query
     """``top_k`` of (query, doc_id, domain, score), one of each domain first.
 
     Domains with a document at ``threshold`` come first, then the others; what lacks is filled from further documents of
-    domains already there, lowered so that the first of them is just below the last kept, not under zero.
+    domains already there, lowered so that the first of them is just below the last kept, not under zero. Beyond the first
+    ``top_k + 1`` of a domain, and ``top_k`` of these groups, nothing can be kept: tasks cut there before they shuffle.
     """
     by_domain, whole = Window.partitionBy(query, "domain"), Window.partitionBy(query)
     order = (F.desc("score"), F.col("doc_id"))
-    rows = rows.withColumns({"is_high": F.max("score").over(by_domain) >= threshold, "nth": F.row_number().over(by_domain.orderBy(*order))})
+    rows = rows.withColumn("nth", F.row_number().over(by_domain.orderBy(*order))).where(F.col("nth") <= top_k + 1)
+    rows = rows.withColumn("is_high", F.max("score").over(by_domain) >= threshold)
     group = F.when(F.col("nth") > 1, 2).when(F.col("is_high"), 0).otherwise(1)
     rows = rows.withColumn("grp", group)
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(query, "grp").orderBy(*order)))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(query, "grp").orderBy(*order))).where(F.col("place") <= top_k)
     rows = rows.withColumns({"n_high": F.sum(F.when(F.col("grp") == 0, 1).otherwise(0)).over(whole), "n_other": F.sum(F.when(F.col("grp") == 1, 1).otherwise(0)).over(whole)})
     room = F.greatest(F.lit(0), F.lit(top_k) - F.col("n_high"))
     kept = ((F.col("grp") == 0) & (F.col("place") <= top_k)) | ((F.col("grp") == 1) & (F.col("place") <= room))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,17 +24,17 @@ class Index:
     stats: DataFrame
 
 
-def build(docs: DataFrame) -> Index:
-    """All BM25 tables of ``docs`` (doc_id, text)."""
-    tokenised = bm25.tokenized(docs)
+def build(docs: DataFrame, title: str | None = None, spellings: Sequence[tuple[str, str]] = (), limit: int | None = None) -> Index:
+    """All BM25 tables of ``docs`` (doc_id, text); ``title`` names a column indexed with the text, ``spellings`` are replaced."""
+    tokenised = bm25.tokenized(docs, title_col=title, spellings=spellings, limit=limit)
     documents, postings = bm25.document_stats(tokenised), bm25.term_freq(tokenised)
     stats = bm25.corpus_stats(documents)
     return Index(documents, postings, bm25.term_stats(postings, stats), stats)
 
 
-def extend(index: Index, docs: DataFrame) -> Index:
-    """``index`` with those of ``docs`` it lacks; only these are tokenised."""
-    fresh = build(bm25.unindexed(docs, index.documents))
+def extend(index: Index, docs: DataFrame, **more) -> Index:
+    """``index`` with those of ``docs`` it lacks; only these are tokenised. ``more`` are settings of ``build``."""
+    fresh = build(bm25.unindexed(docs, index.documents), **more)
     documents = index.documents.unionByName(fresh.documents)
     stats = bm25.corpus_stats(documents)
     terms = bm25.with_idf(bm25.merged(index.terms, fresh.terms), stats)
@@ -41,9 +42,12 @@ def extend(index: Index, docs: DataFrame) -> Index:
 
 
 def save(index: Index, folder: str) -> None:
-    """Write the tables; postings are sorted by term within files, so that a term's row groups can be picked."""
+    """Write the tables; postings are ranged and sorted by term and document, so that a term's row groups can be picked.
+
+    Ranges cut through the postings of a common term, so that no task holds them all.
+    """
     index.documents.write.mode("overwrite").parquet(f"{folder}/documents")
-    index.postings.repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
+    index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
     index.terms.write.mode("overwrite").parquet(f"{folder}/terms")
     index.stats.write.mode("overwrite").parquet(f"{folder}/stats")
 
@@ -52,7 +56,23 @@ def load(spark: SparkSession, folder: str) -> Index:
     return Index(*(spark.read.parquet(f"{folder}/{name}") for name in ("documents", "postings", "terms", "stats")))
 
 
-def embed_chunks(docs: DataFrame, config: Config = DEFAULT, first: int = 0) -> DataFrame:
+def build_all(docs: DataFrame, folder: str, config: Config = DEFAULT, title: str | None = None, spellings: Sequence[tuple[str, str]] = ()) -> tuple[Index, DataFrame]:
+    """Build, write and load the BM25 tables and the embedded chunks of ``docs``."""
+    spark = docs.sparkSession
+    save(build(docs, title, spellings), folder)
+    embed_chunks(docs, config, title=title).write.mode("overwrite").parquet(f"{folder}/chunks")
+    return load(spark, folder), spark.read.parquet(f"{folder}/chunks")
+
+
+def load_streamed(spark: SparkSession, folder: str) -> Index:
+    """The index that ``streaming.health.index_batch`` keeps: term counts of all batches added up, idf of all documents."""
+    documents, postings, counted = (spark.read.parquet(f"{folder}/{name}").drop("batch") for name in ("documents", "postings", "terms"))
+    stats = bm25.corpus_stats(documents)
+    terms = bm25.with_idf(counted.groupBy("term").agg(F.sum("doc_freq").alias("doc_freq"), F.sum("total_freq").alias("total_freq")), stats)
+    return Index(documents, postings, terms, stats)
+
+
+def embed_chunks(docs: DataFrame, config: Config = DEFAULT, first: int = 0, title: str | None = None) -> DataFrame:
     """``chunk_id, doc_id, chunk_text, embedding`` of overlapping windows, by the built-in embedder."""
-    chunks = with_chunk_ids(sliding_windows(docs, config.window, config.step), first)
+    chunks = with_chunk_ids(sliding_windows(docs, config.window, config.step, title_col=title), first)
     return chunks.select("chunk_id", "doc_id", "chunk_text", hash_embedder(config.embedding_size)(F.col("chunk_text")).alias("embedding"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.config import DEFAULT, Config
 from textloom.functions.text import prompt_context, rewritten_query, snippet
 from textloom.functions.urls import domain, domain_topic
+from textloom.functions.vectors import hash_embedder
 from textloom.operators import bm25
 from textloom.operators.rerank import reranked
 from textloom.plans.indexing import Index
@@ -26,13 +27,12 @@ def index_search(index: Index, queries: DataFrame, config: Config = DEFAULT, spe
     return bm25.ranked(scored, config.top_k_retrieval, config.min_score).select("query_num", "rank", "doc_id", "score")
 
 
-def hybrid_search(docs: DataFrame, chunks: DataFrame, queries: DataFrame, query_vectors: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Retrieval, reranking by chunk vectors, diversification and formatting for all queries.
+def presented(found: DataFrame, docs: DataFrame, chunks: DataFrame, query_vectors: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Retrieved rows (query_num, doc_id, score) reranked by chunk vectors, diversified and formatted.
 
     ``docs`` has doc_id, url, title, text; ``chunks`` chunk_id, doc_id, embedding; ``query_vectors`` query_num,
     query_vector. Texts are joined to the final rows alone.
     """
-    found = batch_search(docs, queries, config).drop("rank")
     rows = reranked(found, docs.select("doc_id", "url"), chunks, query_vectors, domain, config)
     final = rows.select("query_num", "rank", "doc_id", "url", F.col("final_score").alias("score"))
     return final.join(docs.select("doc_id", "title", "text"), "doc_id").select(
@@ -40,6 +40,17 @@ def hybrid_search(docs: DataFrame, chunks: DataFrame, queries: DataFrame, query_
     )
 
 
+def hybrid_search(docs: DataFrame, chunks: DataFrame, queries: DataFrame, query_vectors: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Retrieval straight from texts, reranking, diversification and formatting for all queries."""
+    return presented(batch_search(docs, queries, config).drop("rank"), docs, chunks, query_vectors, config)
+
+
+def whole_search(index: Index, docs: DataFrame, chunks: DataFrame, queries: DataFrame, config: Config = DEFAULT, spellings: tuple[str, ...] = ()) -> DataFrame:
+    """The same over a stored index; queries (query_num, query_text) are embedded by the built-in embedder."""
+    vectors = queries.select("query_num", hash_embedder(config.embedding_size)(F.col("query_text")).alias("query_vector"))
+    return presented(index_search(index, queries, config, spellings).drop("rank"), docs, chunks, vectors, config)
+
+
 def responses(results: DataFrame, texts: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """``query_num, documents`` (JSON) and ``context`` for a language model, one row a query.
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from textloom import session
 from textloom.config import Config
 from textloom.functions import scores, text, urls
 from textloom.functions.terms import TERMS
@@ -15,6 +18,7 @@ from textloom.operators import analytics, bm25, chunks, cleaning, crawl, html, r
 from textloom.plans import indexing, search
 from textloom.sources import tables
 from textloom.sources.tables import table
+from textloom.streaming import health
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -416,7 +420,13 @@ def text_score(spark, sf):
     return _documents(spark, sf).select("doc_id", F.round(value, 6).alias("score"))
 
 
-@query()
+_SITE_SCORE = (
+    "WITH hits AS (SELECT doc_id, lang, " + ", ".join(f"{_hits_sql(t)} AS {g}" for g, t in TERMS.items() if g in scores.GROUPS) + f", {_hits_sql(['germany', 'baden-württemberg'])} AS region FROM documents) "
+    "SELECT doc_id, round(CASE WHEN lang = 'en' THEN least(1.0::DOUBLE, " + " + ".join(f"{w}::DOUBLE * least(1.0::DOUBLE, {g} / {n}::DOUBLE)" for g, (w, n) in scores.GROUPS.items()) + " + CASE WHEN phrases > 0 AND academic > 0 THEN 0.10::DOUBLE ELSE 0 END + CASE WHEN region > 0 THEN 0.08::DOUBLE ELSE 0 END) ELSE 0 END, 6) AS score FROM hits"
+)
+
+
+@query(_SITE_SCORE)
 def site_text_score(spark, sf):
     """The same score with the engine's own term lists."""
     value = scores.text_score(F.col("text"), F.col("lang") == "en", TERMS, ["germany", "baden-württemberg"])
@@ -481,10 +491,32 @@ def page_links(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.explode(parsed["links"]).alias("link"))
 
 
-@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+def _unnavigated(spark, sf):
+    """Pages whose navigation is plain content, so that its links count."""
+    pages = table(spark, sf, "pages")
+    return pages.withColumn("html", F.regexp_replace("html", "<(/?)nav>", "<$1div>"))
+
+
+@query(r"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
+SELECT DISTINCT page_id, CASE WHEN starts_with(href, 'http') THEN href ELSE concat(regexp_extract(url, '^[^:/?#]+://[^/?#]*', 0), href) END AS link FROM l WHERE starts_with(href, 'http') OR starts_with(href, '/')""")
+def content_links(spark, sf):
+    """Links of pages whose navigation isn't left out."""
+    parsed = html.parsed_page(F.col("html"), F.col("url"))
+    return _unnavigated(spark, sf).select("page_id", F.explode(parsed["links"]).alias("link"))
+
+
+@query(r"""SELECT page_id, trim(regexp_extract(replace(html, '&amp;', '&'), '<title[^>]*>([^<]*)</title>', 1)) AS title, length(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) > 0 AS headed FROM pages""")
 def page_title(spark, sf):
-    """Titles alone need no parser: they stay in the scan's own expressions."""
-    return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    """Titles by the parser, beside whether the page has a heading that could stand in."""
+    parsed = html.parsed_page(F.col("html"), F.col("url"))
+    return table(spark, sf, "pages").select("page_id", parsed["title"].alias("title"), (F.length(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)) > 0).alias("headed"))
+
+
+@query(r"SELECT page_id, trim(regexp_extract(replace(html, '&amp;', '&'), '<h1>([^<]*)</h1>', 1)) AS title FROM pages WHERE html LIKE '%<article><h1>%'")
+def heading_title(spark, sf):
+    """Without a title element the first heading is the title."""
+    bare = table(spark, sf, "pages").where("html like '%<article><h1>%'").withColumn("html", F.regexp_replace("html", "<title>[^<]*</title>", ""))
+    return bare.select("page_id", html.parsed_page(F.col("html"), F.col("url"))["title"].alias("title"))
 
 
 _ROBOTS = "User-agent: *\nDisallow: /en/\nAllow: /en/1\nCrawl-delay: 3\n\nUser-agent: other\nDisallow: /\n"
@@ -499,9 +531,7 @@ def robots_rules(spark, sf):
 @query("SELECT page_id, CASE WHEN starts_with(p, '/en/1') THEN true WHEN starts_with(p, '/en/') THEN false ELSE true END AS allowed FROM (SELECT page_id, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS p FROM pages)")
 def robots_allowed(spark, sf):
     pages = table(spark, sf, "pages").withColumns({"domain": urls.domain(F.col("url")), "path": F.regexp_extract("url", "^[^:/?#]+://[^/?#]*([^?#]*)", 1)})
-    rows = pages.join(robots_rules(spark, sf), "domain")
-    allowed = urls.longest_prefix(F.col("path"), F.col("allowed")) >= urls.longest_prefix(F.col("path"), F.col("forbidden"))
-    return rows.select("page_id", allowed.alias("allowed"))
+    return crawl.allowed_paths(pages, robots_rules(spark, sf), F.col("path")).select("page_id", "allowed")
 
 
 @query("SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 'No content available' WHEN length(text) > 200 THEN concat(substring(text, 1, 200), '...') ELSE text END AS snippet FROM documents")
@@ -512,8 +542,6 @@ def snippet(spark, sf):
 @query("SELECT conv_id, string_agg(concat('Text Window ', rn, ':', chr(10), substring(text, 1, 4000)), concat(chr(10), chr(10)) ORDER BY rn) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn FROM conversations) WHERE rn <= 10 GROUP BY conv_id")
 def llm_context(spark, sf):
     """Windows of each conversation; only the first ten of each go into an array."""
-    from pyspark.sql import Window
-
     rows = table(spark, sf, "conversations").withColumn("rn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))).where("rn <= 10")
     held = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("rn", "text"))).alias("w"))
     return held.select("conv_id", text.prompt_context(F.transform("w", lambda x: x["text"])).alias("context"))
@@ -659,7 +687,7 @@ def hard_negatives(spark, sf):
     return analytics.hard_negatives(rows.where("vec_id % 50 = 0"), rows).select("anchor_id", "vec_id", "rank")
 
 
-@query()
+@query("SELECT vec_id, row_number() OVER (ORDER BY md5(concat('12:', vec_id)), vec_id) <= 100 AS is_test FROM embeddings")
 def train_split(spark, sf):
     return analytics.train_split(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id", 100).select("vec_id", "is_test")
 
@@ -700,3 +728,140 @@ def query_lines(spark, sf):
 @query("SELECT event_id, event_type, user_id FROM events WHERE event_type = 'error'")
 def read_where(spark, sf):
     return tables.read_columns(table(spark, sf, "events"), ["event_id", "event_type", "user_id"], ("event_type", "error"))
+
+
+# ---- the index with titles, and kept by a stream ----
+
+_TITLED = """toks AS (SELECT doc_id, """ + _tok("replace(substring(lower(concat_ws(' ', source, text)), 1, 1000000), 'licence', 'license')") + """ AS tokens FROM documents)"""
+
+
+@query(f"WITH {_TITLED} SELECT term, count(DISTINCT doc_id) AS doc_freq, count(*) AS total_freq FROM (SELECT doc_id, unnest(tokens) AS term FROM toks) GROUP BY term")
+def titled_term_counts(spark, sf):
+    """Term counts of an index of title and text, lower-cased, with spellings replaced and cut to a million characters."""
+    docs = _documents(spark, sf).select("doc_id", F.col("source").alias("title"), "text")
+    return indexing.build(docs, "title", (("licence", "license"),), 1_000_000).terms.select("term", "doc_freq", "total_freq")
+
+
+def _streamed(spark, sf: str, name: str, schema: str):
+    """A table as a file stream; the pattern lets a single file be its folder."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/{name}.parque[t]")
+
+
+def _ended(stream: DataFrame, mode: str) -> DataFrame:
+    """All that a stream gives, written by batches to the checkpoint folder and read back with the batch's number."""
+    spark = stream.sparkSession
+    session.ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+
+
+@query("SELECT user_id AS key, arg_max(event_type, (ts, event_id)) AS code FROM events GROUP BY user_id")
+def stream_last_codes(spark, sf):
+    """The code that each key's streak is of after the whole stream."""
+    order = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("batch")))
+    events = _streamed(spark, sf, "events", table(spark, sf, "events").schema)
+    seq = F.unix_micros(F.col("ts").cast("timestamp")) * 1_000_000 + F.col("event_id")
+    runs = _ended(health.stream_streaks(events.select(F.col("user_id").cast("long").alias("key"), seq.alias("seq"), F.col("event_type").alias("code"))), "update")
+    return runs.withColumn("rn", order).where("rn = 1").select("key", "code")
+
+
+@query(f"{_UTEMA} SELECT user_id AS key, round(sum(exp(-(last - t) / 86400) * v) / sum(exp(-(last - t) / 86400)), 6) AS average FROM s JOIN l USING (user_id) GROUP BY user_id")
+def stream_averages(spark, sf):
+    """The decayed means of ``utema_batch``, kept by a stream."""
+    order = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("batch")))
+    events = _streamed(spark, sf, "events", table(spark, sf, "events").schema)
+    samples = events.select(F.col("user_id").cast("long").alias("key"), _seconds().alias("t"), F.when(F.col("event_type") == "error", 1.0).otherwise(0.0).alias("v"))
+    means = _ended(health.stream_decayed_means(samples, _DECAY), "update")
+    return means.withColumn("rn", order).where("rn = 1").select("key", F.round("average", 6).alias("average"))
+
+
+@query(f"WITH {_INDEX} SELECT term, doc_freq, total_freq FROM terms")
+def stream_index(spark, sf):
+    """Term counts of an index that a stream of documents keeps."""
+    session.ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    docs = _streamed(spark, sf, "documents", table(spark, sf, "documents").schema).select("doc_id", "text")
+    docs.writeStream.foreachBatch(health.index_batch(f"{folder}/index")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return indexing.load_streamed(spark, f"{folder}/index").terms.select("term", "doc_freq", "total_freq")
+
+
+@query("WITH RECURSIVE o AS (SELECT user_id AS domain, concat('u', lpad(CAST(event_id AS VARCHAR), 12, '0')) AS url, epoch_us(ts) / 1000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS rn FROM events), r AS (SELECT domain, url, t AS release, rn FROM o WHERE rn = 1 UNION ALL SELECT o.domain, o.url, greatest(o.t, r.release + 3600), o.rn FROM r JOIN o ON o.domain = r.domain AND o.rn = r.rn + 1) SELECT domain, url, round(release, 3) AS release FROM r")
+def stream_releases(spark, sf):
+    """When each URL of a stream may be fetched, its domain's URLs an hour apart."""
+    events = _streamed(spark, sf, "events", table(spark, sf, "events").schema)
+    found = events.select(F.col("user_id").cast("string").alias("domain"), F.concat(F.lit("u"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("url"), _seconds().alias("t"))
+    return _ended(health.stream_releases(found, 3600.0), "append").select(F.col("domain").cast("long").alias("domain"), "url", F.round("release", 3).alias("release"))
+
+
+# ---- crawl upkeep, caches and requests ----
+
+
+@query("WITH b AS (SELECT page_id, url, lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)) AS domain FROM pages WHERE contains(url, 'page=2')) SELECT page_id, url FROM b WHERE NOT contains(domain, 'casino')")
+def blocked_cleanup(spark, sf):
+    rows = table(spark, sf, "pages").select("page_id", "url", urls.domain(F.col("url")).alias("domain"))
+    return crawl.cleaned(rows.where(F.col("url").contains("page=2")), rows.where(F.col("domain").contains("casino"))).select("page_id", "url")
+
+
+@query("WITH l AS (SELECT DISTINCT doc_id % 50 AS url, doc_id AS parent, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE (doc_id % 7) / 10::DOUBLE END AS score FROM documents), p AS (SELECT doc_id AS parent, (doc_id % 11) / 10::DOUBLE AS stored FROM documents WHERE lang = 'en') SELECT CAST(url AS VARCHAR) AS url, round(sum(coalesce(score, stored, 0)), 6) AS incoming FROM l LEFT JOIN p USING (parent) GROUP BY url")
+def incoming_lookup(spark, sf):
+    """Incoming scores; links without one have their parent's, where it is an English document."""
+    docs = _documents(spark, sf)
+    links = docs.select((F.col("doc_id") % 50).cast("string").alias("url"), F.col("doc_id").alias("parent"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 7 / 10.0).alias("score"))
+    pages = docs.where("lang = 'en'").select(F.col("doc_id").alias("url"), (F.col("doc_id") % 11 / 10.0).alias("score"))
+    return crawl.incoming_scores(links, links, pages).select("url", F.round("incoming", 6).alias("incoming"))
+
+
+@query("WITH p AS (SELECT doc_id, 'pending' AS lang FROM documents WHERE doc_id % 10 = 0) SELECT doc_id, coalesce(p.lang, d.lang) AS lang FROM documents d LEFT JOIN p USING (doc_id)")
+def cache_overlay(spark, sf):
+    docs = _documents(spark, sf).select("doc_id", "lang")
+    return tables.overlay(docs.where("doc_id % 10 = 0").withColumn("lang", F.lit("pending")), docs, "doc_id")
+
+
+@query("SELECT doc_id, lang, CASE WHEN lang = 'en' THEN 'seen' ELSE source END AS source FROM documents")
+def update_where(spark, sf):
+    return tables.updated(_documents(spark, sf).select("doc_id", "lang", "source"), "lang", "en", source="seen")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id % 1000 WHEN event_id % 3 = 1 THEN CAST(greatest(0, floor(epoch(ts)) - 1700000000) AS BIGINT) END AS seconds FROM events")
+def retry_after(spark, sf):
+    """Retry headers made of events: seconds, HTTP dates and neither."""
+    when = F.date_format(F.col("ts").cast("timestamp"), "EEE, dd MMM yyyy HH:mm:ss")
+    value = F.when(F.col("event_id") % 3 == 0, (F.col("event_id") % 1000).cast("string")).when(F.col("event_id") % 3 == 1, F.concat(when, F.lit(" GMT"))).otherwise("soon")
+    return table(spark, sf, "events").select("event_id", urls.retry_seconds(value, F.lit(1_700_000_000)).alias("seconds"))
+
+
+@query("SELECT doc_id AS a_id, lang AS a_b_lang, n_chars FROM documents")
+def flattened_rows(spark, sf):
+    nested = F.struct(F.col("doc_id").alias("id"), F.struct("lang", "source").alias("b")).alias("a")
+    return tables.flattened(_documents(spark, sf).select(nested, "n_chars"), skip=("source",))
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS query_num, text AS query_text, 100 AS top_k FROM benchmark")
+def json_requests(spark, sf):
+    body = F.to_json(F.struct(F.col("text").alias("query"), F.col("item_id").cast("string").alias("query_id")))
+    return tables.requests(table(spark, sf, "benchmark").select(body.alias("value")))
+
+
+@query(f"WITH {_DOMAIN_SCORES} SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) <= 10 AS is_top FROM ds")
+def top_highlight(spark, sf):
+    return analytics.highlighted(_domain_scores(spark, sf).select("doc_id", "score")).select("doc_id", "is_top")
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 500")
+def training_load(spark, sf):
+    return analytics.training_rows(_documents(spark, sf).select("doc_id", "lang"), 500, "doc_id")
+
+
+@query("SELECT query_num, count(*) AS n, max(rank) AS last FROM (" + _scored("SELECT item_id AS query_num, text AS query_text FROM benchmark") + f" SELECT * FROM ({_RANKED}) WHERE rank <= 10) GROUP BY query_num")
+def search_responses(spark, sf):
+    """Results as JSON arrays, one row a query: how many each has, read back from the JSON."""
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_num"), F.col("text").alias("query_text"))
+    docs = _documents(spark, sf)
+    found = search.batch_search(docs, asked, Config(top_k_retrieval=10)).withColumns({c: F.lit("") for c in ("url", "title", "snippet", "domain")})
+    held = F.from_json("documents", "array<struct<rank:int,doc_id:long>>")
+    return search.responses(found, docs).select("query_num", F.size(held).cast("long").alias("n"), F.array_max(F.transform(held, lambda x: x["rank"])).cast("long").alias("last"))

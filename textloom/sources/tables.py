@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -79,6 +79,73 @@ def write_run(results: DataFrame, path: str) -> None:
     run_lines(ordered).write.mode("overwrite").text(path)
 
 
+def requests(bodies: DataFrame, top_k: int = 100) -> DataFrame:
+    """``query_num, query_text, top_k`` of JSON search requests (value); what is missing gets a default, the id a random one."""
+    held = F.from_json("value", "query string, top_k int, query_id string")
+    return bodies.select(held.alias("r")).select(F.coalesce("r.query_id", F.replace(F.uuid(), F.lit("-"), F.lit(""))).alias("query_num"), F.coalesce("r.query", F.lit("")).alias("query_text"), F.coalesce("r.top_k", F.lit(top_k)).alias("top_k"))
+
+
+def flattened(df: DataFrame, skip: Sequence[str] = (), separator: str = "_") -> DataFrame:
+    """Nested structs as columns of their own, at any depth; arrays and maps as marked JSON; ``skip`` names are left out."""
+    out: list[Column] = []
+
+    def walk(kind: T.DataType, path: list[str]) -> None:
+        if path and path[-1] in skip:
+            return
+        if isinstance(kind, T.StructType):
+            for field in kind.fields:
+                walk(field.dataType, [*path, field.name])
+            return
+        value = F.col(".".join(f"`{p}`" for p in path))
+        out.append((to_marked_json(value) if isinstance(kind, T.ArrayType | T.MapType) else value).alias(separator.join(path)))
+
+    walk(df.schema, [])
+    return df.select(*out)
+
+
+def create(spark: SparkSession, name: str, schema: T.StructType | str) -> None:
+    """An empty table, if there is none of this name."""
+    if not spark.catalog.tableExists(name):
+        spark.createDataFrame([], schema).write.saveAsTable(name)
+
+
+def create_as(df: DataFrame, name: str) -> None:
+    """A table of a result, in place of any there was; readers see the old one or the new one whole."""
+    df.write.mode("overwrite").saveAsTable(name)
+
+
+def truncate(spark: SparkSession, name: str) -> None:
+    """A table without its rows."""
+    spark.createDataFrame([], spark.table(name).schema).write.mode("overwrite").saveAsTable(name)
+
+
+def drop(spark: SparkSession, name: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def append(rows: DataFrame | object, name: str, spark: SparkSession | None = None) -> None:
+    """Add rows, of a DataFrame or a pandas frame, to a table; columns are matched by name."""
+    df = rows if isinstance(rows, DataFrame) else spark.createDataFrame(rows)
+    kinds = df.sparkSession.table(name).schema
+    df.select(*[F.col(f.name).cast(f.dataType) for f in kinds]).write.mode("append").saveAsTable(name)
+
+
+def committed(batches: Sequence[Callable[[], DataFrame]], folder: str) -> list[int]:
+    """Write each batch as a folder of its own; those complete already are skipped, so a failed run goes on where it ended.
+
+    A batch is there whole or not at all: readers take only folders with a success mark. Numbers of those written now.
+    """
+    done = []
+    for number, batch in enumerate(batches):
+        df = batch()
+        spark = df.sparkSession
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch={number}/_SUCCESS")
+        if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+            df.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+            done.append(number)
+    return done
+
+
 def last_rows(df: DataFrame, columns: Sequence[str], most: int, id_col: str = "id") -> DataFrame:
     """The ``most`` rows of the greatest ids, latest first."""
     return df.select(*columns).orderBy(F.desc(id_col)).limit(most)

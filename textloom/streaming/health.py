@@ -46,8 +46,57 @@ def stream_streaks(events: DataFrame) -> DataFrame:
     return events.groupBy("key").applyInPandasWithState(step, "key long, code string, streak long", "code string, streak long", "update", GroupStateTimeout.NoTimeout)
 
 
+def stream_rates(requests: DataFrame, seconds: int = 60, most: int = 60) -> DataFrame:
+    """Admission of requests (key long, t double), in order of time: ``key, t, used, allowed, reset``.
+
+    ``used`` counts the requests admitted in the ``seconds`` up to one; over ``most`` it is refused, and ``reset`` is when
+    the oldest of them leaves. State is the times of the admitted requests in the window, at most ``most`` a key.
+    """
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        out = []
+        for t in pd.concat(list(batches))["t"].sort_values():
+            held = [h for h in held if h > t - seconds]
+            allowed = len(held) < most
+            if allowed:
+                held.append(t)
+            out.append((key[0], t, len(held), allowed, held[0] + seconds))
+        state.update((held,))
+        yield pd.DataFrame(out, columns=["key", "t", "used", "allowed", "reset"])
+
+    return requests.groupBy("key").applyInPandasWithState(step, "key long, t double, used long, allowed boolean, reset double", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_releases(urls: DataFrame, delay: float = 1.5) -> DataFrame:
+    """When each URL of a stream (domain string, url string, t double) may be fetched: ``domain, url, release``.
+
+    A domain's URLs are at least ``delay`` seconds apart, in order of time and then of URL; state is one number a domain.
+    """
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        free = state.get[0] if state.exists else -math.inf
+        out = []
+        for t, url in _in_order(batches):
+            free = max(t, free)
+            out.append((key[0], url, free))
+            free += delay
+        state.update((free,))
+        yield pd.DataFrame(out, columns=["domain", "url", "release"])
+
+    return urls.groupBy("domain").applyInPandasWithState(step, "domain string, url string, release double", "free double", "append", GroupStateTimeout.NoTimeout)
+
+
+def _in_order(batches: Iterator[pd.DataFrame]) -> list[tuple[float, str]]:
+    rows = pd.concat(list(batches))
+    return sorted(zip(rows["t"], rows["url"], strict=True))
+
+
 def index_batch(folder: str):
-    """A ``foreachBatch`` function that appends the postings and lengths of documents it hasn't seen."""
+    """A ``foreachBatch`` function that appends postings, lengths and term counts of documents it hasn't seen.
+
+    ``plans.indexing.load_streamed`` reads them as an index, with idf and mean length of all batches.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -58,7 +107,10 @@ def index_batch(folder: str):
             fresh = bm25.unindexed(fresh, spark.read.schema("doc_id long, doc_length int, batch long").parquet(f"{folder}/documents").where(F.col("batch") != number))
         tokenised = bm25.tokenized(fresh)
         # A batch that is run again after a failure overwrites its own folders.
-        bm25.term_freq(tokenised).write.mode("overwrite").parquet(f"{folder}/postings/batch={number}")
+        postings = f"{folder}/postings/batch={number}"
+        bm25.term_freq(tokenised).write.mode("overwrite").parquet(postings)
+        held = spark.read.schema("doc_id long, term string, freq long").parquet(postings)
+        held.groupBy("term").agg(F.count("*").alias("doc_freq"), F.sum("freq").alias("total_freq")).write.mode("overwrite").parquet(f"{folder}/terms/batch={number}")
         bm25.document_stats(tokenised).write.mode("overwrite").parquet(f"{folder}/documents/batch={number}")
 
     return write
