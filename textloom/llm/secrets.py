@@ -125,12 +125,12 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def random_spans(text: str, base: list[tuple[int, int, int]] = (), rate: float = 1e-4, alpha: float = 1e-3) -> list[tuple[int, int]]:
+def random_spans(text: str, base: list[tuple[int, int, int]] = (), rate: float = 1e-4, alpha: float = 0.05) -> list[tuple[int, int]]:
     """Spans of tokens taken for random, none of which touches a ``base`` span; ``rate`` bounds the false discoveries.
 
     The family is all other candidates of the text. Their p-values under ordinary words go through a Benjamini-Hochberg
     step with weights: a token's length over the mean one, times how far the battery lets it be random. A battery p-value
-    of ``alpha`` or more keeps the whole weight; below, the weight falls with its cube. Weights' mean is one at most.
+    of ``alpha`` or more keeps the whole weight; below, the weight falls with its fourth power. Weights' mean is one at most.
     """
     family: list[tuple[float, int, float, int, int]] = []
     for start, end, token in candidates(text):
@@ -140,7 +140,7 @@ def random_spans(text: str, base: list[tuple[int, int, int]] = (), rate: float =
         if found is None or token.isdigit():
             family.append((1.0, len(token), 0.0, start, end))
         else:
-            family.append((wordlikeness(token, found[0]), len(token), min(1.0, randomness(token, found[1]) / alpha) ** 3, start, end))
+            family.append((wordlikeness(token, found[0]), len(token), min(1.0, randomness(token, found[1]) / alpha) ** 4, start, end))
     if not family or min(f[0] for f in family) > rate:
         return []
     mean = sum(f[1] for f in family) / len(family)
