@@ -144,7 +144,7 @@ def slow_random_spans(text):
             found = secrets.infer_encoding(token)
             p = 1.0 if found is None or token.isdigit() else secrets.wordlikeness(token, found[0])
             r = 0.0 if found is None or token.isdigit() else secrets.randomness(token, found[1])
-            held.append((p, len(token), min(1.0, r / 0.05) ** 4, start, end))
+            held.append((p, len(token), min(1.0, r / 0.03) ** 4, start, end))
     if not held:
         return []
     mean = sum(n for _, n, _, _, _ in held) / len(held)

@@ -125,7 +125,7 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def random_spans(text: str, base: list[tuple[int, int, int]] = (), rate: float = 1e-4, alpha: float = 0.05) -> list[tuple[int, int]]:
+def random_spans(text: str, base: list[tuple[int, int, int]] = (), rate: float = 1e-4, alpha: float = 0.03) -> list[tuple[int, int]]:
     """Spans of tokens taken for random, none of which touches a ``base`` span; ``rate`` bounds the false discoveries.
 
     The family is all other candidates of the text. Their p-values under ordinary words go through a Benjamini-Hochberg
