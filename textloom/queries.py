@@ -760,12 +760,12 @@ def _ended(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).option("basePath", f"{folder}/out").parquet(f"{folder}/out")
 
 
-@query("SELECT user_id AS key, arg_max(event_type, (ts, event_id)) AS code FROM events GROUP BY user_id")
+@query("SELECT user_id AS key, arg_max(event_type, epoch_us(ts) * 1000 + event_id % 1000) AS code FROM events GROUP BY user_id")
 def stream_last_codes(spark, sf):
     """The code that each key's streak is of after the whole stream."""
     order = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("batch")))
     events = _streamed(spark, sf, "events", table(spark, sf, "events").schema)
-    seq = F.unix_micros(F.col("ts").cast("timestamp")) * 1_000_000 + F.col("event_id")
+    seq = F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id") % 1000
     runs = _ended(health.stream_streaks(events.select(F.col("user_id").cast("long").alias("key"), seq.alias("seq"), F.col("event_type").alias("code"))), "update")
     return runs.withColumn("rn", order).where("rn = 1").select("key", "code")
 
