@@ -349,14 +349,60 @@ def test_block_max_search_equals_scoring_all():
             assert found == want
 
 
+@pytest.mark.parametrize("chars", [dc.INDEX_CHARS, 200])
+def test_questions_and_answers_equal_brute_force(spark, chars):
+    """Pairs by the whole rule, scored exhaustively from plain counts: passages, threshold, and question and answer alike."""
+    import math
+
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(80)]
+    items = [(k, f"{' '.join(rng.choices(vocabulary, k=rng.randint(6, 12)))}? {' '.join(rng.choices(vocabulary, k=rng.randint(2, 9)))}") for k in range(12)]
+    docs = []
+    for k in range(150):
+        question, answer = items[k % 12][1].split("? ")
+        parts = [question if rng.random() < 0.7 else "", " ".join(rng.choices(vocabulary, k=rng.choice([0, 3, 30]))), answer if rng.random() < 0.7 else "", " ".join(rng.choices(vocabulary, k=20))]
+        rng.shuffle(parts)
+        docs.append((k, " ".join(parts)))
+    counted = [(i, dc.Counter(dc.words(t)), dc.shingles(dc.words(t)), *(dc.shingles(dc.words(p)) for p in t.split("? "))) for i, t in items]
+    df = dc.Counter(w for _, c, *_ in counted for w in c)
+    mean = sum(sum(c.values()) for _, c, *_ in counted) / 12
+    want = set()
+    for doc, text in docs:
+        tokens = dc.words(text)
+        for item, tf, whole, question, answer in counted:
+            norm = 1.2 * (0.25 + 0.75 * sum(tf.values()) / mean)
+            weight = {w: math.log(1 + (12 - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + norm) for w, n in tf.items()}
+            step = max(8, *(sum(c.values()) for _, c, *_ in counted))
+            for at in range(0, max(1, len(tokens) - step), step):
+                passage = tokens[at : at + 2 * step]
+                if sum(v for w, v in weight.items() if w in passage) / sum(weight.values()) < 0.5 - 1e-9:
+                    continue
+                near, joined = dc.shingles(passage), f" {' '.join(passage)} "
+                shares = [sum(s in near if len(s) == 5 else f" {' '.join(s)} " in joined for s in part) / len(part) for part in (whole, question, answer)]
+                if shares[0] >= 0.8 or min(shares[1:]) >= 0.8:
+                    want.add((doc, item))
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    if chars > 200:
+        assert {(r.doc_id, r.item_id) for r in dc.contaminated(frame, bench).collect()} == want
+        assert len(want) > 20
+    else:  # several indexes: each has windows of its own length; what lies whole in a text is found all the same
+        got = {(r.doc_id, r.item_id) for r in dc.contaminated(frame, bench, chars=chars).collect()}
+        sure = {(d, i) for d, text in docs for i, item in items if f" {' '.join(dc.words(item))} " in f" {' '.join(dc.words(text))} "}
+        assert sure and sure <= got
+        kept = {r.doc_id for r in dc.drop_contaminated(frame, bench, chars=chars).collect()}
+        assert kept == {d for d, _ in docs} - {d for d, _ in got}
+
+
 def test_decontamination_edges(spark):
     item = "What is the name of the red river that runs by the old mill? It is called the Varn."
     items = spark.createDataFrame([(1, item), (2, None), (3, ""), (None, item), (1, item)], "item_id long, text string")
     filler = "some quite ordinary words that stand before and after everything else here "
     rows = [(1, filler * 40 + item.upper() + filler * 3), (2, None), (3, ""), (None, item), (5, filler), (6, " ".join(item.split()[:8]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r.doc_id is None, r.doc_id, r.item_id, r.overlap) for r in dc.contaminated(docs, items).collect())
-    assert got == [(False, 1, 1, 1.0), (True, None, 1, 1.0)]
+    # An item without an id is one like any other.
+    got = sorted(str((r.doc_id, r.item_id, r.overlap)) for r in dc.contaminated(docs, items).collect())
+    assert got == sorted(map(str, [(1, 1, 1.0), (1, None, 1.0), (None, 1, 1.0), (None, None, 1.0)]))
+    assert {r.doc_id for r in dc.drop_contaminated(docs, items).collect()} == {2, 3, 5, 6}
     assert dc.contaminated(docs, items.limit(0)).count() == 0 and dc.contaminated(docs.limit(0), items).count() == 0
     assert dc.question_and_answer("Q one? Answer: two") == ("Q one?", "two")
 
