@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from textloom.functions import scores, text, urls
 from textloom.functions.terms import TERMS
 from textloom.functions.vectors import cosine, hash_embedder
 from textloom.operators import analytics, bm25, chunks, cleaning, crawl, html, rerank
-from textloom.plans import indexing, search
+from textloom.plans import crawling, indexing, search
 from textloom.sources import tables
 from textloom.sources.tables import table
 from textloom.streaming import health
@@ -865,3 +866,38 @@ def search_responses(spark, sf):
     found = search.batch_search(docs, asked, Config(top_k_retrieval=10)).withColumns({c: F.lit("") for c in ("url", "title", "snippet", "domain")})
     held = F.from_json("documents", "array<struct<rank:int,doc_id:long>>")
     return search.responses(found, docs).select("query_num", F.size(held).cast("long").alias("n"), F.array_max(F.transform(held, lambda x: x["rank"])).cast("long").alias("last"))
+
+
+@query("SELECT concat_ws(',', doc_id, quality, toxic) AS value FROM labels")
+def csv_strings(spark, sf):
+    """A CSV file of the labels, read back as strings."""
+    session.ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/csv-{uuid.uuid4().hex}"
+    tables.write_csv(table(spark, sf, "labels").select("doc_id", "quality", "toxic"), path)
+    return tables.csv_strings(spark, path)
+
+
+@query("""WITH s AS (SELECT DISTINCT url, regexp_extract(url, '//([^/:]+)', 1) AS domain FROM pages), n AS (SELECT least(99, count(DISTINCT domain)) AS fetched FROM s)
+SELECT (SELECT count(*) FROM s) - fetched AS frontier, fetched AS pages, 0 AS blocked_urls, 0 AS blocked_domains FROM n""")
+def crawl_progress(spark, sf):
+    """Counters after a round of a crawl whose seeds, and whose web, are the pages: one URL of each domain, 99 at most."""
+    web = table(spark, sf, "pages").select("url", F.lit(200).alias("code"), "html").dropDuplicates(["url"])
+    empty = crawling.CrawlState.seeded(spark, [], 0.0)
+    seeds = web.select("url", urls.crawl_domain(F.col("url")).alias("domain"), F.lit(0.0).alias("schedule"), F.lit(1.5).alias("delay"), F.lit(0).alias("link_depth"), F.lit(0).alias("domain_depth"))
+    state = replace(empty, frontier=seeds)
+    return crawling.progress(crawling.crawl_round(state, lambda due: web.join(due, "url", "left_semi"), 1.0, _GROUPS))
+
+
+@query("""WITH s AS (SELECT user_id AS key, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS t FROM events)
+SELECT a.key, round(a.t, 3) AS t, count(*) AS used, round(min(b.t) + 3600, 3) AS reset FROM s a JOIN s b ON a.key = b.key AND b.t > a.t - 3600 AND (b.t < a.t OR (b.t = a.t AND b.event_id <= a.event_id)) GROUP BY a.key, a.event_id, a.t""")
+def stream_rates(spark, sf):
+    """Requests within an hour, and when the oldest of them leaves, kept by a stream."""
+    events = _streamed(spark, sf, "events", table(spark, sf, "events").schema)
+    rates = _ended(health.stream_rates(events.select(F.col("user_id").cast("long").alias("key"), _seconds().alias("t")), 3600, 1_000_000), "append")
+    return rates.select("key", F.round("t", 3).alias("t"), "used", F.round("reset", 3).alias("reset"))
+
+
+@query("SELECT doc_id, ['de', 'en'] AS langs FROM documents WHERE lang IN ('de', 'en') UNION ALL SELECT doc_id, list_sort(['de', 'en', lang]) FROM documents WHERE lang NOT IN ('de', 'en')")
+def sorted_insert(spark, sf):
+    values = analytics.with_item(F.array(F.lit("de"), F.lit("en")), F.col("lang"))
+    return _documents(spark, sf).select("doc_id", values.alias("langs"))
