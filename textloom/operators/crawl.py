@@ -118,10 +118,10 @@ def decayed_means(samples: DataFrame, key: str, time: str, value: str, decay: fl
 
 
 def request_rates(requests: DataFrame, key: str, time: str, seconds: int = 60, most: int = 60) -> DataFrame:
-    """Requests in the window up to each one, what remains, and use in percent."""
+    """Requests in the window up to each one, what remains, use in percent, and the second after which the oldest counts no more."""
     window = Window.partitionBy(key).orderBy(F.col(time).cast("long")).rangeBetween(-seconds, 0)
-    used = F.count("*").over(window)
-    return requests.withColumn("used", used).withColumns({"remaining": F.greatest(F.lit(0), most - F.col("used")), "use_percent": 100.0 * F.col("used") / most})
+    held = {"used": F.count("*").over(window), "reset": F.min(F.col(time).cast("long")).over(window) + seconds}
+    return requests.withColumns(held).withColumns({"remaining": F.greatest(F.lit(0), most - F.col("used")), "use_percent": 100.0 * F.col("used") / most})
 
 
 def link_depths(seeds: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:

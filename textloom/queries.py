@@ -636,10 +636,10 @@ def utema_batch(spark, sf):
     return rows.withColumns({"n": F.round("n", 6), "average": F.round("average", 6)})
 
 
-@query("SELECT event_id, used, greatest(0, 60 - used) AS remaining, round(100.0::DOUBLE * used / 60, 6) AS use_percent FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS used FROM (SELECT event_id, user_id, date_trunc('second', ts) AS ts FROM events))")
+@query("SELECT event_id, used, greatest(0, 60 - used) AS remaining, round(100.0::DOUBLE * used / 60, 6) AS use_percent, reset FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS used, 3600 + min(epoch(ts)::BIGINT) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS reset FROM (SELECT event_id, user_id, date_trunc('second', ts) AS ts FROM events))")
 def rate_window(spark, sf):
     rows = crawl.request_rates(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", 3600)
-    return rows.select("event_id", "used", "remaining", F.round("use_percent", 6).alias("use_percent"))
+    return rows.select("event_id", "used", "remaining", F.round("use_percent", 6).alias("use_percent"), "reset")
 
 
 @query("""WITH RECURSIVE e AS (SELECT a.doc_id AS src, b.doc_id AS dst, a.source = b.source AS same FROM documents a JOIN documents b ON b.doc_id IN (2 * a.doc_id + 1, 2 * a.doc_id + 2)),

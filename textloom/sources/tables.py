@@ -152,7 +152,8 @@ def last_rows(df: DataFrame, columns: Sequence[str], most: int, id_col: str = "i
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """A CSV file with a header; nested columns are flattened or, if they repeat, written as marked JSON."""
+    flattened(df).write.mode("overwrite").option("header", True).csv(path)
 
 
 def csv_strings(spark: SparkSession, path: str) -> DataFrame:
