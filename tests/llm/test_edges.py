@@ -120,3 +120,11 @@ def test_tables_go_to_the_shared_folder_only(spark):
     batches.drop_stored(spark, path)
     with pytest.raises(Exception, match="(?i)path|exist"):
         spark.read.parquet(path)
+
+
+def test_a_stage_leaves_its_result_only(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "e f g h")], "doc_id long, text string")
+    before = set(batches._held)
+    kept, path = batches.stored_alone(spark, lambda: simhash.keep_first(docs))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3] and set(batches._held) - before == {path}
+    batches.drop_stored(spark, path)

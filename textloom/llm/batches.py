@@ -94,6 +94,10 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Tables stored and not deleted yet.
+_held: set[str] = set()
+
+
 def _place(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
@@ -108,6 +112,7 @@ def stored(df: DataFrame) -> tuple[DataFrame, str]:
     df.write.parquet(path)
     files, where = _place(df.sparkSession, path)
     files.deleteOnExit(where)
+    _held.add(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -116,6 +121,15 @@ def drop_stored(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         files, where = _place(spark, path)
         files.delete(where, True)
+        _held.discard(path)
+
+
+def stored_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """What ``make`` gives, stored; tables that it stored meanwhile are deleted, as the result no longer reads them."""
+    before = set(_held)
+    out, path = stored(make())
+    drop_stored(spark, *(_held - before - {path}))
+    return out, path
 
 
 def smallest_hashes(df: DataFrame, rows: int, column: str) -> list[tuple]:
