@@ -480,7 +480,14 @@ def clean_merge(spark, sf):
     return merged.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query()
+_DROPPED = "script|style|noscript|aside|header|footer|nav"
+
+
+@query(rf"""WITH a AS (SELECT page_id, html, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS body FROM pages)
+SELECT page_id, trim(regexp_extract(replace(html, '&amp;', '&'), '<title[^>]*>([^<]*)</title>', 1)) AS title,
+ trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(body, '(?s)<!--.*?-->|<({_DROPPED})[^>]*>.*?</({_DROPPED})>', '', 'g'), '<[^>]*>', chr(10), 'g'),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&nbsp;', chr(160)), '&amp;', '&'), '[\s\x{{A0}}\x{{85}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{3000}}\x1c-\x1f]+', ' ', 'g')) AS text,
+ len(list_distinct(regexp_extract_all(regexp_replace(html, '(?s)<nav>.*?</nav>', '', 'g'), '<a href="((?:http|/)[^"]*)"', 1))) AS n_links FROM a""")
 def html_extract(spark, sf):
     parsed = html.parsed_page(F.col("html"), F.col("url"))
     return table(spark, sf, "pages").select("page_id", parsed.alias("p")).select("page_id", "p.title", "p.text", F.size("p.links").alias("n_links"))
