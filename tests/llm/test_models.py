@@ -407,6 +407,23 @@ def test_decontamination_edges(spark):
     assert dc.question_and_answer("Q one? Answer: two") == ("Q one?", "two")
 
 
+def test_decontamination_maps_whole_rows(spark):
+    """No function of the text alone, for which Spark keeps the rows that wait; columns of all kinds come back as they were."""
+    item = "What is the name of the red river that runs by the old mill? It is called the Varn."
+    docs = spark.sql("""select id, decode(text, 'utf-8') as `the ``text`, text as raw, id as as_text, map('a', array(id, null)) as m, named_struct('x', cast(id as decimal(20, 3)), 'y', cast(null as string)) as s,
+        timestamp'2024-03-31 02:30:00' as t, timestamp_ntz'2024-03-31 02:30:00.000001' as n, date'0999-01-01' as d, interval '1' day as i, float('nan') as f, null as v
+        from values (1L, cast('the sea' as binary)), (2L, null), (3L, x''), (null, cast('the sea' as binary)), (4L, cast(repeat('ö ', 30000) as binary)) as r(id, text)""")
+    bad = docs.where("id = 1").withColumns({"id": F.lit(9).cast("long"), "the `text": F.lit(f"so {item} then"), "raw": F.lit(f"so {item} then").cast("binary")})
+    items = spark.createDataFrame([(1, item), (2, "the boat of the old man lay there in the harbour all winter long")], "item_id long, text string")
+    for chars in (1, dc.INDEX_CHARS):
+        for column in ("the `text", "THE `Text", "raw"):
+            left = dc.drop_contaminated(docs.union(bad).drop("v") if chars == 1 else docs.union(bad), items, text_col=column, chars=chars)
+            plan = left._jdf.queryExecution().toString()
+            assert "MapInArrow" in plan and "EvalPython" not in plan
+            assert left.dtypes == (docs.drop("v") if chars == 1 else docs).dtypes
+            assert sorted(map(str, left.collect())) == sorted(map(str, (docs.drop("v") if chars == 1 else docs).collect()))
+
+
 def slow_judge(url):
     host = path = ""
     if url is not None and "://" in url:

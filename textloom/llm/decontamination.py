@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from textloom.llm.batches import drop_stored, id_and_text, map_rows, quoted, slices, stored
+from textloom.llm.batches import drop_stored, id_and_text, map_rows, quoted, stored
 
 _WORDS = re.compile(r"[^\W_]+").findall
 K1, B = 1.2, 0.75
@@ -261,24 +262,30 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     """The rows, all columns kept, in which no test item is verified.
 
     Null and empty texts, null ids and repeated rows stay, as do columns of any name; an empty benchmark drops nothing.
-    Indexes are searched one after the other, each in what the one before has left, which is written in between.
+    Indexes are searched one after the other, each in what the one before has left, which is written in between. Whole rows
+    go through Python in batches: for a function of the text alone Spark would keep every row that waits for its answer.
     """
-    spark, before = docs.sparkSession, []
+    spark, names, before = docs.sparkSession, docs.columns, []
+    text = names.index(text_col) if text_col in names else [c.lower() for c in names].index(text_col.lower())
+    plain = [f"c{k}" for k in range(len(names))]  # mapInArrow takes no dots or backticks
+    schema = StructType([StructField(c, f.dataType, f.nullable, f.metadata) for c, f in zip(plain, docs.schema, strict=True)])
+    more = [] if schema[text].dataType == StringType() else [F.col(plain[text]).cast("string").alias("as_text")]
+    at = len(names) if more else text
+
+    def clean(rows: DataFrame, held) -> DataFrame:
+        def start():
+            def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+                kept = [not matches(held.value, t, threshold, overlap) for t in batch.column(at).to_pylist()]
+                return batch.select(plain).filter(pa.array(kept, pa.bool_()))
 
-    def clean(held):
-        @F.arrow_udf("boolean")
-        def run(texts: pa.Array) -> pa.Array:
-            out: list[bool] = []
-            for part in slices(iter([pa.RecordBatch.from_arrays([texts], names=["t"])]), 0):
-                out += [not matches(held.value, text, threshold, overlap) for text in part.column(0).to_pylist()]
-            return pa.array(out, pa.bool_())
+            return work
 
-        return run
+        return map_rows(rows.toDF(*plain).select("*", *more), schema, start, at).toDF(*names)
 
     for number, indexes in enumerate(build_indexes(benchmark, chars=chars)):
         if number:
             docs, path = stored(docs)
             drop_stored(spark, *before)
             before = [path]
-        docs = docs.where(clean(spark.sparkContext.broadcast(indexes))(F.col(quoted(text_col)).cast("string")))
+        docs = clean(docs, spark.sparkContext.broadcast(indexes))
     return docs
