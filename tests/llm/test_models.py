@@ -1,5 +1,6 @@
 """Classifiers by held-out accuracy, decontamination by brute force, URL rules, and the pipeline."""
 
+import dataclasses
 import random
 import re
 import zlib
@@ -299,6 +300,43 @@ def test_languages_equal_brute_force(spark, monkeypatch, at_once):
         assert r.score == pytest.approx(1 / odds, rel=1e-4)
 
 
+@pytest.mark.parametrize("at_once", [6_000_000, 1])
+def test_every_training_text_calibrates(spark, monkeypatch, at_once):
+    """Temperature and thresholds against plain loops over all texts: however many, however long, with or without an id."""
+    monkeypatch.setattr(language_id, "KEYS_AT_ONCE", at_once)
+    rng = random.Random(6)
+    words = {"en": "the hill is high and sea deep old so near".split(), "no": "det er en hav og fjell som de ligger so near".split()}
+    rows = [(k, " ".join(rng.choices(words[lang], k=rng.randint(1, 6))), lang) for k, lang in enumerate(["en"] * 1300 + ["no"] * 150)]
+    odd = ["".join(rng.choices("qxzkwvj ", k=30_000)) for _ in range(20)]
+    rows += [(None, t, "en") for t in odd] + [(5, rows[5][1], "en"), (7000, None, "en"), (7001, "??", "no"), (7002, "the", None)]
+    trained = language_id.Trained(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(trained.groups) == (1 if at_once > 1 else 2)
+    texts = [(lang, language_id.trigrams(t)) for _, t, lang in rows if t and lang and t != "??"]
+    counts = {lang: language_id._summed(np.concatenate([np.repeat(*g) for x, g in texts if x == lang])) for lang in words}
+    alphabet = len({int(k) & language_id.SYMBOL for keys, _ in counts.values() for k in keys}) + 1
+    models = {lang: language_id.Model.of(*c, alphabet) for lang, c in counts.items()}
+    h, losses = {"en": [], "no": []}, np.zeros(41)
+    for own, (keys, n) in texts:
+        all_, here = dict(zip(*counts[own], strict=True)), []
+        for lang, m in models.items():
+            # A trigram of no other text: one that the model can't find.
+            logs = m.logs(keys)
+            if lang == own and (alone := np.array([all_[k] == c for k, c in zip(keys, n, strict=True)])).any():
+                left = ~np.isin(m.keys3, keys[alone])
+                without = dataclasses.replace(m, keys3=m.keys3[left], log3=m.log3[left], counts3=m.counts3[left])
+                logs = np.where(alone, without.logs(keys), logs)
+            here.append(-(n @ logs) / n.sum())
+        y = list(models).index(own)
+        h[own].append(here[y])
+        losses += [(here[y] - min(here)) * np.sqrt(n.sum()) * t + np.log(np.exp(-(np.array(here) - min(here)) * np.sqrt(n.sum()) * t).sum()) for t in np.geomspace(0.1, 10, 41)]
+    assert trained.calibration.temperature == pytest.approx(np.geomspace(0.1, 10, 41)[losses.argmin()])
+    for lang, own in h.items():
+        last = sorted(own)[int(np.ceil(0.995 * len(own))) - 1]
+        assert last + 0.5 - 1e-9 <= trained.calibration.reject[lang] <= last + 0.501 + 1e-9
+    # The long texts without an id hold the last place that counts.
+    assert trained.calibration.reject["en"] > max(x for x in sorted(h["en"])[: -len(odd)]) + 0.5
+
+
 def test_character_models_are_distributions():
     """Each context's probabilities add up to one over all symbols known and one for the rest, seen or not."""
     texts = {"x": ["abc abd", "aab"], "y": ["zzz b", "日本 語"]}

@@ -4,8 +4,8 @@ Each language has a trigram model over lower-case letters, all other characters
 texts in a written table that grows with them. A trigram's key is its three code points side by side in 63 bits, so that no
 two letters of any script fall together. A model is sorted arrays of n-gram keys with natural logs, looked up by binary
 search. The language of the lowest length-normalised cross-entropy is chosen. The temperature that turns cross-entropies
-into a score, and the cross-entropy beyond which a text is rejected, are calibrated on a bounded sample of each language, in
-which trigrams that only the text itself has count as unseen.
+into a score, and the cross-entropy beyond which a text is rejected, are calibrated on every training text, in which
+trigrams that only the text itself has count as unseen.
 
 Workers hold the models of as many languages as have ``KEYS_AT_ONCE`` trigrams; more languages make further rounds over
 the texts, whose best languages and sums are merged.
@@ -13,11 +13,13 @@ the texts, whose best languages and sums are merged.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.batches import drop_stored, fold, id_and_text, map_rows, slices, stored, strings
@@ -25,8 +27,10 @@ from textloom.llm.batches import drop_stored, fold, id_and_text, map_rows, slice
 WIDTH = 21
 SYMBOL, PAIR = (1 << WIDTH) - 1, (1 << 2 * WIDTH) - 1
 UNKNOWN = "und"
-#: Calibration texts of all languages together and of each at least, those of the smallest hashes; their characters at most.
-CALIBRATION, LEAST, CALIBRATION_CHARS = 2000, 20, 20_000
+#: Temperatures that calibration chooses from.
+TEMPERATURES = np.geomspace(0.1, 10, 41).tolist()
+#: The share of a language's texts that its rejection threshold keeps, in steps a nat of cross-entropy, and the nats beyond it.
+KEPT, STEPS, BEYOND = 0.995, 1000, 0.5
 #: Trigrams of the models that workers hold at a time; a language with more is held alone.
 KEYS_AT_ONCE = 6_000_000
 
@@ -87,6 +91,7 @@ class Model:
     """One language: sorted keys of each order with natural logs, and those of the mass left to the order below."""
 
     keys3: np.ndarray
+    counts3: np.ndarray
     log3: np.ndarray
     contexts3: np.ndarray
     back3: np.ndarray
@@ -118,13 +123,13 @@ class Model:
         weight3 = d3 * np.bincount(own, minlength=len(contexts3)) / np.maximum(sum3, 1)
         p3 = np.maximum(counts - d3, 0) / np.maximum(sum3[own], 1) + weight3[own] * p2[np.searchsorted(keys2, keys & PAIR)]
         logs = [np.log(x).astype(np.float32) for x in (p3, weight3, p2, weight2, p1)]
-        return cls(keys, logs[0], contexts3, logs[1], keys2, logs[2], contexts2, logs[3], keys1, logs[4], float(np.log(floor)))
+        return cls(keys, counts, logs[0], contexts3, logs[1], keys2, logs[2], contexts2, logs[3], keys1, logs[4], float(np.log(floor)))
 
-    def logs(self, keys: np.ndarray, unseen: np.ndarray | None = None) -> np.ndarray:
-        """Log probability of each trigram's last symbol; those marked ``unseen`` are taken as not counted."""
+    def logs(self, keys: np.ndarray, less: np.ndarray | None = None) -> np.ndarray:
+        """Log probability of each trigram's last symbol; those counted no more than ``less`` are taken as unseen."""
         at, seen = _find(self.keys3, keys)
-        if unseen is not None:
-            seen = seen & ~unseen
+        if less is not None:
+            seen[seen] = self.counts3[at[seen]] > less[seen]
         out = np.zeros(len(keys))
         out[seen] = self.log3[at[seen]]
         rest = np.flatnonzero(~seen)
@@ -151,12 +156,20 @@ class Calibration:
     reject: dict[str, float]
 
 
-def entropies(models: dict[str, Model], found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Cross-entropy, in nats a character, of each text's trigrams (rows) in each language (columns)."""
+def entropies(models: dict[str, Model], found: list[tuple[np.ndarray, np.ndarray]], own: Sequence[str] = ()) -> np.ndarray:
+    """Cross-entropy, in nats a character, of each text's trigrams (rows) in each language (columns).
+
+    ``own`` are the languages that count the texts: there, trigrams that only the text itself has are unseen.
+    """
     keys, counts = (np.concatenate(x) for x in zip(*found, strict=True))
     text = np.repeat(np.arange(len(found)), [len(k) for k, _ in found])
     size = np.maximum(np.bincount(text, counts, len(found)), 1)
-    return np.column_stack([-np.bincount(text, counts * m.logs(keys), len(found)) / size for m in models.values()])
+
+    def column(lang: str, model: Model) -> np.ndarray:
+        less = np.where(np.array([x == lang for x in own])[text], counts, 0) if lang in own else None
+        return -np.bincount(text, counts * model.logs(keys, less), len(found)) / size
+
+    return np.column_stack([column(lang, m) for lang, m in models.items()])
 
 
 def count_trigrams(docs: DataFrame) -> DataFrame:
@@ -209,62 +222,88 @@ class Trained:
                 held = 0
             self.groups[-1].append(lang)
             held += n
-        self.calibration = Calibration(1.0, {})
-        self._calibrate(docs, [lang for group in self.groups for lang in group])
+        self.held = [docs.sparkSession.sparkContext.broadcast(self.models(group)) for group in self.groups]
+        self.calibration = calibrated(docs, self.held)
 
-    def raw(self, group: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-        """Sorted trigram keys and counts of a group's languages."""
+    def models(self, group: list[str]) -> dict[str, Model]:
+        """Models of a group's languages, from their sorted trigram keys and counts."""
         rows = self.counts.where(F.col("lang").isin(group)).orderBy("lang", "key").toArrow().combine_chunks()
         lang, keys, n = rows["lang"].to_numpy(), rows["key"].to_numpy(), rows["n"].to_numpy()
         starts = np.r_[np.flatnonzero(np.r_[True, lang[1:] != lang[:-1]][: len(lang)]), len(lang)]
-        return {str(lang[a]): (keys[a:b], n[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)}
+        return {str(lang[a]): Model.of(keys[a:b], n[a:b], self.alphabet) for a, b in zip(starts[:-1], starts[1:], strict=True)}
 
-    def models(self, group: list[str]) -> dict[str, Model]:
-        return {lang: Model.of(keys, n, self.alphabet) for lang, (keys, n) in self.raw(group).items()}
-
-    def _calibrate(self, docs: DataFrame, languages: list[str]) -> None:
-        """Temperature by maximum likelihood, rejection by each language's own texts, all without what only they have."""
-        if not languages:
-            return
-        most = max(LEAST, CALIBRATION // len(languages))
-        short = docs.where(F.length("text").between(1, CALIBRATION_CHARS) & F.col("doc_id").isNotNull())
-        order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-        ids = short.select("lang", "doc_id").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
-        ids = docs.sparkSession.createDataFrame([(r.lang, r.doc_id) for r in ids.collect()], "lang string, doc_id long")  # bounded by the sample
-        # An id that repeats calibrates with its first text in order.
-        sample = short.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).orderBy("lang", "doc_id").collect()
-        found = [(r.lang, *trigrams(r.text)) for r in sample]
-        found = [f for f in found if len(f[1])]
-        if not found:
-            return
-        size = np.array([c.sum() for _, _, c in found])
-        h = np.zeros((len(found), 0))
-        for group in self.groups:
-            for lang, (keys, n) in self.raw(group).items():
-                model, column = Model.of(keys, n, self.alphabet), []
-                for own, k, c in found:
-                    unseen = None
-                    if own == lang:
-                        at, seen = _find(keys, k)
-                        unseen = seen & (n[at] <= c)
-                    column.append(-(c @ model.logs(k, unseen)) / c.sum())
-                h = np.column_stack([h, column])
-        y = np.array([languages.index(own) for own, _, _ in found])
-        margin = (h - h.min(axis=1, keepdims=True)) * np.sqrt(size)[:, None]
-
-        def loss(t: float) -> float:
-            return float((margin[np.arange(len(y)), y] * t + np.log(np.exp(-margin * t).sum(axis=1))).mean())
-
-        self.calibration.temperature = min(np.geomspace(0.1, 10, 41).tolist(), key=loss)
-        self.calibration.reject = {lang: float(np.quantile(h[y == j, j], 0.995) + 0.5) for j, lang in enumerate(languages) if (y == j).any()}
-
-
-def judged(rows: DataFrame, models: dict[str, Model], temperature: float) -> DataFrame:
-    """``doc_id, held_out, digest, letters, best, h, odds``: each text's best of some languages, and the sum of all their odds.
+
+def training_odds(rows: DataFrame, held) -> DataFrame:
+    """``lang, digest, letters, own, odds`` of training texts that have letters.
+
+    ``own`` is the cross-entropy in the text's own language, null if that isn't among the models held; ``odds`` are, for
+    each of ``TEMPERATURES``, what ``judged`` gives.
+    """
+
+    def start():
+        models = held.value
+        names = {lang: k for k, lang in enumerate(models)}
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            found = [trigrams(t) for t in strings(batch.column(1))]
+            some = [k for k, (keys, _) in enumerate(found) if len(keys)]
+            if not some:
+                return None
+            batch, found = batch.take(pa.array(some)), [found[k] for k in some]
+            size, langs = np.array([c.sum() for _, c in found], np.int64), batch.column(0).to_pylist()
+            h = entropies(models, found, langs)
+            own = [float(h[k, names[x]]) if x in names else None for k, x in enumerate(langs)]
+            best, sharp = h.min(axis=1), np.sqrt(size)
+            odds = np.column_stack([np.log(np.exp(-(h - best[:, None]) * sharp[:, None] * t).sum(axis=1)) - best * sharp * t for t in TEMPERATURES])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * len(TEMPERATURES), pa.int32()), pa.array(odds.ravel()))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size), pa.array(own, pa.float64()), lists], names=["lang", "digest", "letters", "own", "odds"])
+
+        return work
+
+    return map_rows(rows.select("lang", "text", "digest"), "lang string, digest string, letters long, own double, odds array<double>", start)
+
+
+def calibrated(docs: DataFrame, held: list) -> Calibration:
+    """Temperature by maximum likelihood over all of (lang, text), rejection by all of each language's own texts.
+
+    The sum of losses is of decimals, so that their order doesn't matter, and the threshold of a language is an order
+    statistic of its texts' cross-entropies, rounded up to a step: both are alike in every run, and nothing is sampled.
+    """
+    if not held:
+        return Calibration(1.0, {})
+    rows = docs.withColumn("digest", F.md5("text") if len(held) > 1 else F.lit(None).cast("string"))
+    out, paths = training_odds(rows, held[0]), []
+    for models in held[1:]:
+        # Equal texts of a language have equal results: one row each.
+        more = training_odds(rows, models).select("lang", "digest", F.col("own").alias("own_"), F.col("odds").alias("odds_"))
+        more, path = stored(more.dropDuplicates(["lang", "digest"]))
+        paths.append(path)
+        odds = F.zip_with("odds", "odds_", lambda a, b: F.greatest(a, b) + F.log1p(F.exp(F.least(a, b) - F.greatest(a, b))))
+        out = out.join(more, ["lang", "digest"]).select("lang", "digest", "letters", F.coalesce("own", "own_").alias("own"), odds.alias("odds"))
+    out, path = stored(out.drop("digest"))
+    losses = [F.sum((F.col("odds")[k] + F.col("own") * F.sqrt("letters") * t).cast("decimal(38,9)")) for k, t in enumerate(TEMPERATURES)]
+    total = out.agg(*losses).first()
+    step = F.ceil(F.col("own") * STEPS)
+    steps: dict[str, list[tuple[int, int]]] = {}
+    for lang, at, n in out.groupBy("lang", step.alias("step")).count().orderBy("lang", "step").toLocalIterator():
+        steps.setdefault(lang, []).append((at, n))
+    drop_stored(docs.sparkSession, path, *paths)
+    reject = {}
+    for lang, found in steps.items():
+        left = math.ceil(KEPT * sum(n for _, n in found))
+        for at, n in found:
+            left -= n
+            if left <= 0:
+                reject[lang] = at / STEPS + BEYOND
+                break
+    return Calibration(TEMPERATURES[min(range(len(TEMPERATURES)), key=lambda k: total[k])], reject)
+
+
+def judged(rows: DataFrame, held, temperature: float) -> DataFrame:
+    """``doc_id, held_out, digest, letters, best, h, odds``: each text's best of the languages held, and the sum of all their odds.
 
     ``odds`` is the logarithm of the sum of ``exp(-h * temperature * sqrt(letters))``, which adds up over languages.
     """
-    held = rows.sparkSession.sparkContext.broadcast(models)
 
     def start():
         models = held.value
@@ -302,12 +341,12 @@ def identify(docs: DataFrame, held_out: tuple[int, int] = (4, 2), id_col: str =
     several = len(trained.groups) > 1
     rows = rows.withColumn("digest", F.md5(F.coalesce("text", F.lit(""))) if several else F.lit(None).cast("string"))
     out = None
-    for group in trained.groups:
-        found = judged(rows, trained.models(group), trained.calibration.temperature)
+    for held in trained.held:
+        found = judged(rows, held, trained.calibration.temperature)
         if out is None:
             out = found
             continue
-        # Equal texts have equal results: one row each, written before the next group's models are made.
+        # Equal texts have equal results: one row each, written before the next group's models are held.
         more, _ = stored(found.select("digest", F.col("best").alias("best_"), F.col("h").alias("h_"), F.col("odds").alias("odds_")).dropDuplicates(["digest"]))
         better = F.col("h_") < F.col("h")
         high, low = F.greatest("odds", "odds_"), F.least("odds", "odds_")
