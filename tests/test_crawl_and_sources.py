@@ -118,6 +118,23 @@ def test_html():
     assert parse_page("<p>x <b>y", "") == ("Untitled", "x y", [])
 
 
+def test_html_references_of_the_sql(spark, tmp_path):
+    """References that a cut left open, and those that the SQL doesn't decode in titles, give the rows of the SQL."""
+    import duckdb
+
+    from textloom.queries import ORACLES, QUERIES
+
+    heads = ["a &amp;&amp", "b = &quot;c", "d &quot", "&lt;e &#x2", "f &amp;lt; &eacute;"]
+    pages = [(k, f"https://h.de/{k}", f'<html><head><title>{h}</title></head><body><article><h1>{h}</h1><p>x &quot;y&quot; <a href="/z?p=1&amp;q={k}">l</a></p></article></body></html>') for k, h in enumerate(heads)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("heading_title",):
+        ours = [r.asDict() for r in QUERIES[name](spark, str(tmp_path)).orderBy("page_id").collect()]
+        assert ours == sorted(con.execute(ORACLES[name]).to_arrow_table().to_pylist(), key=lambda r: r["page_id"]), name
+    assert parse_page(pages[1][2], None)[0] == 'b = "c'  # the engine's own parsing still decodes as browsers do
+
+
 def test_hard_negatives_and_split(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [0.9, 0.1], 1), (2, [0.8, 0.3], 2), (3, [0.0, 1.0], 2)], "vec_id int, embedding array<double>, label int")
     got = analytics.hard_negatives(df.where("vec_id = 0"), df, 1).collect()
