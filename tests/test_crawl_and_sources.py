@@ -129,7 +129,7 @@ def test_html_references_of_the_sql(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
-    for name in ("heading_title", "html_extract"):
+    for name in ("heading_title", "html_extract", "page_title"):
         ours = [r.asDict() for r in QUERIES[name](spark, str(tmp_path)).orderBy("page_id").collect()]
         assert ours == sorted(con.execute(ORACLES[name]).to_arrow_table().to_pylist(), key=lambda r: r["page_id"]), name
     assert parse_page(pages[1][2], None)[0] == 'b = "c'  # the engine's own parsing still decodes as browsers do
