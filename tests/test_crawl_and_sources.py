@@ -142,6 +142,27 @@ def test_hard_negatives_and_split(spark):
     assert analytics.train_split(df, "vec_id", 2).where("is_test").count() == 2
 
 
+def test_hard_negatives_of_blocks(spark, monkeypatch):
+    """Blocks of anchors and pool give the rows of a comparison by columns, with ties, zero, null and short vectors."""
+    import numpy as np
+
+    from textloom.functions.vectors import cosine
+
+    some = np.random.default_rng(3).normal(size=(40, 8)).astype(np.float32)
+    rows = [(k, [float(x) for x in some[k % 40]], k % 3) for k in range(200)]
+    rows += [(200, [0.0] * 8, 1), (201, None, 2), (202, [1.0], 1), (203, rows[0][1], None), (204, [1.0, None] * 4, 0), (205, [float("nan")] * 8, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    anchors = df.where("vec_id % 5 = 0")
+    pairs = anchors.selectExpr("vec_id anchor_id", "embedding av", "label al").join(df, F.expr("anchor_id <> vec_id and al <> label"))
+    pairs = pairs.withColumn("similarity", F.round(cosine(F.col("av"), F.col("embedding")), 10)).selectExpr("*", "row_number() over (partition by anchor_id order by similarity desc, vec_id) place")
+    want = {(r.anchor_id, r.vec_id, repr(r.similarity), r.place - 2) for r in pairs.where("place between 3 and 9").collect()}
+    for name, n in {"BLOCK_ANCHORS": 17, "BLOCK_POOL": 33, "SLICE_ANCHORS": 5}.items():
+        monkeypatch.setattr(analytics, name, n)
+    got = analytics.hard_negatives(anchors, df, 7, (2, 100))
+    assert {(r.anchor_id, r.vec_id, repr(r.similarity), r["rank"]) for r in got.collect()} == want
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()  # no pair of rows is a row of its own
+
+
 def _drain(query):
     query.processAllAvailable()
     query.stop()
