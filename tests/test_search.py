@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from textloom.config import Config
 from textloom.operators import bm25, chunks, rerank
 from textloom.plans import indexing, search
 
@@ -127,3 +128,25 @@ def test_search_plan(spark, tmp_path):
     indexing.save(indexing.build(docs), str(tmp_path / "index"))
     plan = search.index_search(indexing.load(spark, str(tmp_path / "index")), asked)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "WindowGroupLimit" in plan and "CartesianProduct" not in plan and ",text:string" not in plan
+
+
+def test_queries_are_scored_where_documents_stand(spark, monkeypatch, tmp_path):
+    """The best of each task, whatever the slices, are those of all scores; no document is shuffled for each of its queries."""
+    words = ["castle", "wall", "tower", "the", "moat", "Gate"]
+    rows = [(k, " ".join(words[(k * j + j * j) % 6] for j in range(k % 9))) for k in range(300)] + [(300, None), (301, "castle castle 7"), (302, "castle castle 7")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    asked = spark.createDataFrame([(1, "castle wall wall"), (2, "moat the gate"), (None, "tower"), (4, "nothing"), (5, "")], "query_num int, query_text string")
+    config = Config(top_k_retrieval=7, min_score=-2.0)
+    want = {tuple(r) for r in bm25.ranked(bm25.score(docs, asked, config), 7, -2.0).select("query_num", "rank", "doc_id", F.round("score", 9)).collect()}
+    assert len({q for q, *_ in want}) == 3
+    for name, n in {"SLICE_HITS": 5, "SLICE_SCORES": 7}.items():
+        monkeypatch.setattr(bm25, name, n)
+    found = bm25.search(docs, asked, config)
+    assert {tuple(r) for r in found.select("query_num", "rank", "doc_id", F.round("score", 9)).collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "HashAggregate" not in plan
+    indexing.save(indexing.build(docs), str(tmp_path))
+    again = search.index_search(indexing.load(spark, str(tmp_path)), asked, config)
+    assert {tuple(r) for r in again.select("query_num", "rank", "doc_id", F.round("score", 9)).collect()} == want
+    monkeypatch.setattr(bm25, "ROW_TERMS", 2)  # more terms than tasks could hold are joined
+    assert {tuple(r) for r in bm25.search(docs, asked, config).select("query_num", "rank", "doc_id", F.round("score", 9)).collect()} == want
