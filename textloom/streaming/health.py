@@ -102,15 +102,23 @@ def index_batch(folder: str):
         spark = batch.sparkSession
         where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/documents")
         files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-        fresh = batch.dropDuplicates(["doc_id"])
+        fresh = _once(batch)
         if files.exists(where):
             fresh = bm25.unindexed(fresh, spark.read.schema("doc_id long, doc_length int, batch long").parquet(f"{folder}/documents").where(F.col("batch") != number))
-        tokenised = bm25.tokenized(fresh)
         # A batch that is run again after a failure overwrites its own folders.
         postings = f"{folder}/postings/batch={number}"
-        bm25.term_freq(tokenised).write.mode("overwrite").parquet(postings)
+        bm25.word_postings(bm25.words(fresh)).write.mode("overwrite").parquet(postings)
         held = spark.read.schema("doc_id long, term string, freq long").parquet(postings)
         held.groupBy("term").agg(F.count("*").alias("doc_freq"), F.sum("freq").alias("total_freq")).write.mode("overwrite").parquet(f"{folder}/terms/batch={number}")
-        bm25.document_stats(tokenised).write.mode("overwrite").parquet(f"{folder}/documents/batch={number}")
+        held.groupBy("doc_id").agg(F.sum("freq").cast("int").alias("doc_length")).write.mode("overwrite").parquet(f"{folder}/documents/batch={number}")
 
     return write
+
+
+def _once(batch: DataFrame) -> DataFrame:
+    """One row of each id; only rows whose id repeats are shuffled with their texts."""
+    twice = batch.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return batch
+    same = batch.doc_id.eqNullSafe(twice.doc_id)
+    return batch.join(twice, same, "left_anti").unionByName(batch.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
