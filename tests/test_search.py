@@ -150,3 +150,24 @@ def test_queries_are_scored_where_documents_stand(spark, monkeypatch, tmp_path):
     assert {tuple(r) for r in again.select("query_num", "rank", "doc_id", F.round("score", 9)).collect()} == want
     monkeypatch.setattr(bm25, "ROW_TERMS", 2)  # more terms than tasks could hold are joined
     assert {tuple(r) for r in bm25.search(docs, asked, config).select("query_num", "rank", "doc_id", F.round("score", 9)).collect()} == want
+
+
+def test_streamed_batches_keep_one_row_of_an_id(spark):
+    """Repeated ids, null ones too, stand once; without any, no text is shuffled."""
+    from textloom.streaming.health import _once
+
+    rows = [(1, "a b"), (2, "c"), (1, "a b"), (None, "d"), (None, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, _once(df).collect()), key=str) == [(1, "a b"), (2, "c"), (None, "d")]
+    assert "Exchange" not in _once(df.where("doc_id = 2"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_counts_batches_before_the_shuffle(spark, docs):
+    """Terms are added up in Arrow batches, and are those of the postings."""
+    index = indexing.build(docs)
+    assert "MapInArrow" in index.terms._jdf.queryExecution().executedPlan().toString()
+    want = {tuple(r) for r in index.postings.groupBy("term").agg(F.count("*"), F.sum("freq")).collect()}
+    assert {tuple(r) for r in index.terms.select("term", "doc_freq", "total_freq").collect()} == want
+    tokenised = bm25.tokenized(docs)
+    assert sorted(map(tuple, index.postings.collect())) == sorted(map(tuple, bm25.term_freq(tokenised).collect()))
+    assert sorted(map(tuple, index.documents.collect())) == sorted(map(tuple, bm25.document_stats(tokenised).collect()))
