@@ -64,3 +64,14 @@ def test_longest_prefix_and_retry(spark):
     assert values(spark, ["/a/b/c", "/q", None], "string", lambda x: urls.longest_prefix(x, rules)) == [4, 0, 0]
     rows = ["120", "Thu, 01 Jan 1970 00:02:00 GMT", "soon"]
     assert values(spark, rows, "string", lambda x: urls.retry_seconds(x, F.lit(60))) == [120, 60, None]
+
+
+def test_site_score_lowers_a_text_once(spark):
+    """Many terms neither lower the text for each of them nor outgrow a generated method."""
+    from textloom.functions.terms import TERMS
+
+    df = spark.createDataFrame([("The University of Tübingen and its lecture halls", True), (None, True), ("Tübingen", False)], "text string, english boolean")
+    score = scores.text_score(F.col("text"), F.col("english"), TERMS, ["germany"])
+    assert df.select(score.alias("s"))._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    got = [r.s for r in df.select(score.alias("s")).collect()]
+    assert got[0] > 0 and got[1:] == [0.0, 0.0]

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.functions.text import term_hits
+from textloom.functions.text import lower_term_hits
 
 #: Weight of each term group and the hits at which it is full. Fixed values.
 GROUPS = {"phrases": (0.25, 2), "city": (0.16, 2), "university": (0.16, 2), "faculty": (0.11, 2), "academic": (0.32, 3)}
@@ -19,13 +19,19 @@ def _clamp(c: Column) -> Column:
 
 def text_score(text: Column, english: Column, terms: Mapping[str, Sequence[str]], region: Sequence[str] = ()) -> Column:
     """0 to 1 from how many different terms of each group occur; 0 for texts that aren't English."""
-    hits = {g: term_hits(text, terms.get(g, ())) for g in GROUPS}
-    total = F.lit(0.0)
-    for group, (weight, full) in GROUPS.items():
-        total = total + weight * F.least(F.lit(1.0), hits[group] / float(full))
-    total = total + F.when((hits["phrases"] > 0) & (hits["academic"] > 0), 0.10).otherwise(0.0)
-    total = total + F.when(term_hits(text, region) > 0, 0.08).otherwise(0.0)
-    return F.when(F.coalesce(english, F.lit(False)), _clamp(total)).otherwise(0.0)
+    # Lambdas bind the lower-case text, and then the hits, once; as plain columns every term would lower the text again.
+    def counted(low: Column) -> Column:
+        return F.struct(*[lower_term_hits(low, terms.get(g, ())).alias(g) for g in GROUPS], (lower_term_hits(low, region) > 0).alias("region"))
+
+    def valued(hits: Column) -> Column:
+        total = F.lit(0.0)
+        for group, (weight, full) in GROUPS.items():
+            total = total + weight * F.least(F.lit(1.0), hits[group] / float(full))
+        total = total + F.when((hits["phrases"] > 0) & (hits["academic"] > 0), 0.10).otherwise(0.0)
+        return _clamp(total + F.when(hits["region"], 0.08).otherwise(0.0))
+
+    low = F.array(F.lower(F.coalesce(text, F.lit(""))))
+    return F.when(F.coalesce(english, F.lit(False)), F.get(F.transform(F.transform(low, counted), valued), F.lit(0))).otherwise(0.0)
 
 
 def incoming_score(incoming: Column) -> Column:
