@@ -111,6 +111,14 @@ def test_clean_merge(spark):
     assert [tuple(r) for r in got] == [(3, "a"), (4, "c"), (5, "b")]
 
 
+def test_running_ids_are_numbered_in_many_ranges(spark):
+    """Ranges stay many although their ids are small, so that no task gets all rows with their texts."""
+    rows = spark.createDataFrame([(k * 7 % 501, "x" * 50) for k in range(501)], "doc_id long, text string")
+    got = cleaning.with_running_ids(rows, "doc_id")
+    assert sorted((r.doc_id, r.running, len(r.text)) for r in got.collect()) == [(k, k + 1, 50) for k in range(501)]
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_html():
     page = '<html><head><title> T </title></head><body><nav><a href="/n">n</a></nav><article><h1>H</h1><p>a&amp;b <a href="/x?y=1">l</a></p><div class="ad">no</div><br><a href="/sitemap.xml">s</a><a href="mailto:q">m</a></article><footer>f</footer></body></html>'
     assert parse_page(page, "https://h.de/p") == ("T", "H a&b l s m", ["https://h.de/x?y=1"])
