@@ -171,3 +171,37 @@ def test_index_counts_batches_before_the_shuffle(spark, docs):
     tokenised = bm25.tokenized(docs)
     assert sorted(map(tuple, index.postings.collect())) == sorted(map(tuple, bm25.term_freq(tokenised).collect()))
     assert sorted(map(tuple, index.documents.collect())) == sorted(map(tuple, bm25.document_stats(tokenised).collect()))
+
+
+def test_words_of_batches_are_the_tokens(spark):
+    """Every character is a letter or not, alone and beside others, as for ``tokens``; words don't cross rows."""
+    rows = [(k, "".join(chr(c) + "-" * (c % 3) for c in range(4096 * k, 4096 * k + 4096) if not 0xD800 <= c < 0xE000)) for k in range(272)]
+    rows += [(300, None), (301, ""), (302, "ab"), (303, "cd"), (304, "é"), (305, "éa"), (306, "7"), (307, "The İstanbul ΣΑΣ"), (308, "\U00010400\U00010401"), (None, "x x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tokenised, words = bm25.tokenized(docs), bm25.words(docs)
+    postings, lengths = ({tuple(r) for r in f(tokenised).collect()} for f in (bm25.term_freq, bm25.document_stats))
+    assert {tuple(r) for r in bm25.word_postings(words).collect()} == postings and len(postings) > 80_000
+    assert {tuple(r) for r in bm25.word_lengths(words).collect()} == lengths
+    stats = bm25.word_stats(words)
+    assert {tuple(r) for r in stats.where("doc_length is not null").select("doc_id", "doc_length").collect()} == lengths
+    counts = {tuple(r) for r in bm25.summed(stats.where("term is not null")).collect()}
+    assert counts == {tuple(r) for r in bm25.word_counts(words).collect()} and sum(c[2] for c in counts) == sum(n for _, n in lengths)
+
+
+@pytest.mark.parametrize("few", [2_000_000, 0])
+def test_extended_index_reads_texts_once(spark, monkeypatch, tmp_path, few):
+    """Lengths, term counts and idf of a grown index read no text again; texts meet few ids without a shuffle."""
+    monkeypatch.setattr(bm25, "BROADCAST_IDS", few)
+    rows = [*DOCS, (6, None), (7, "the 12"), (8, "Moat moat gate"), (1, "tower"), (9, "wall"), (9, None), (None, "keep")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    whole, first = indexing.build(docs), docs.where("doc_id <= 2 or doc_id = 6")
+    grown = indexing.extend(indexing.counted(first), docs)
+    for name in ("documents", "postings", "terms", "stats"):
+        a, b = getattr(whole, name), getattr(grown, name)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect())), name
+        if name != "postings":
+            plan = b._jdf.queryExecution().executedPlan().toString()
+            assert "MapInArrow" not in plan and "text:string" not in plan
+    lacked = bm25.unindexed(docs, grown.documents.where("doc_id < 3"))._jdf.queryExecution().analyzed().toString()
+    assert ("strategy=broadcast" in lacked) == (few > 0)
